@@ -74,8 +74,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one shuffle, so no hot group reaches a single task.
     """
     rows = staged(_keyed(docs, id_col, text_col))
-    heavy = staged(heavy_digests(rows, tracked)).select("_dg", F.col("_keep._id").alias("_winner"), F.lit(True).alias("_hot"))
-    tagged = docs.withColumn("_dg", digest(F.col(text_col))).join(F.broadcast(heavy), "_dg", "left")
-    alive = tagged.where(F.col("_hot").isNull() | F.col(id_col).eqNullSafe(F.col("_winner")))
-    order = Window.partitionBy("_dg").orderBy(F.col(id_col).desc_nulls_last())
-    return alive.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*[docs[c] for c in docs.columns])
+    heavy = staged(heavy_digests(rows, tracked)).select(F.col("_dg").alias("__lx_dg"), F.col("_keep._id").alias("__lx_winner"), F.lit(True).alias("__lx_hot"))
+    tagged = docs.withColumn("__lx_dg", digest(F.col(text_col))).join(F.broadcast(heavy), "__lx_dg", "left")
+    alive = tagged.where(F.col("__lx_hot").isNull() | F.col(id_col).eqNullSafe(F.col("__lx_winner")))
+    order = Window.partitionBy("__lx_dg").orderBy(F.col(id_col).desc_nulls_last())
+    return alive.withColumn("__lx_rank", F.row_number().over(order)).where("__lx_rank = 1").select(*[docs[c] for c in docs.columns])

@@ -14,6 +14,7 @@ is scanned whole; repeated rows are each scanned; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -149,14 +150,9 @@ def _rules_by_first(rules: list[Rule]) -> Column:
     by: dict[str, list[Rule]] = {}
     for r in rules:
         by.setdefault(r.first, []).append(r)
-    parts = []
-    for first, own in by.items():
-        structs = [
-            F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"))
-            for r in own
-        ]
-        parts += [F.lit(first), F.array(*structs)]
-    return F.create_map(*parts)
+    plain = {k: [{x: getattr(r, x) for x in ("pattern", "label", "priority", "confidence", "base")} for r in own] for k, own in by.items()}
+    kind = "map<string,array<struct<pattern:string,label:string,priority:int,confidence:double,base:boolean>>>"
+    return F.from_json(F.lit(json.dumps(plain)), kind)  # a literal: folded once, when the plan is optimised
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.llm import langid, toxicity
 from lintel.llm.chat import format_chats, loss_text, parse
-from lintel.llm.common import table
+from lintel.llm.common import bernoulli_fold, table
 from lintel.llm.decontam import contamination
 from lintel.llm.exact_dedup import exact_groups
 from lintel.llm.licenses import license_scan
@@ -63,6 +64,25 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=2, parts=4)
+    scored = toxicity.score_documents(docs, model, keep=["doc_id", "lang"])
+    return scored.select(
+        "doc_id",
+        (bernoulli_fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+        (F.col("score") >= toxicity.threshold_of(model)).alias("flagged"),
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs, fold=0, parts=5))
+    return found.withColumn("held_out", bernoulli_fold(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -119,6 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_license_scan": op3_license_scan,
         "op5_chat_formatting": op5_chat_formatting,
+        "op6_toxicity": op6_toxicity,
+        "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
