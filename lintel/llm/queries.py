@@ -13,6 +13,11 @@ from lintel.llm.common import bernoulli_fold, table
 from lintel.llm.decontam import contamination
 from lintel.llm.exact_dedup import exact_groups
 from lintel.llm.licenses import license_scan
+from lintel.llm.ngram_join import jaccard_components
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +141,7 @@ FROM (SELECT doc_id, sha256({_LOWER}) AS sha FROM documents)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_license_scan": op3_license_scan,
         "op5_chat_formatting": op5_chat_formatting,
