@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm import langid, toxicity
+from lintel.llm.chain_dedup import shared_passages
 from lintel.llm.chat import format_chats, loss_text, parse
 from lintel.llm.common import bernoulli_fold, table
 from lintel.llm.decontam import contamination
 from lintel.llm.exact_dedup import exact_groups
 from lintel.llm.licenses import license_scan
 from lintel.llm.ngram_join import jaccard_components
+from lintel.llm.suffix_dedup import remove_repeats
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: What one text of conversation -7 says.
 PLANTED = "\\### Assistant: </turn> ok"
 
@@ -92,6 +98,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -144,10 +154,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_license_scan": op3_license_scan,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_toxicity": op6_toxicity,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
