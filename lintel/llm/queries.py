@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import langid, toxicity
+from lintel.llm import langid, mixing, toxicity
 from lintel.llm.chain_dedup import shared_passages
 from lintel.llm.chat import format_chats, loss_text, parse
 from lintel.llm.common import bernoulli_fold, table
@@ -88,6 +88,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = mixing.mixed(docs, mixing.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "source", "n_tokens", "domain", "domain_weight", "rate", (F.col("n_tokens") * F.col("rate")).alias("expected_tokens"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, fold=0, parts=5))
@@ -149,6 +155,12 @@ FROM (SELECT doc_id, sha256({_LOWER}) AS sha FROM documents)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -157,9 +169,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_toxicity": op6_toxicity,
+        "op7_source_mixing": op7_source_mixing,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": pipeline,
     }
 
 
