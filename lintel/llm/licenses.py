@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lintel.llm.common import alnum_words
 
 #: The most words a rule may span.
-REACH = 16
+REACH = 24
 #: The keyword prefilter: every rule holds at least one of these words, so a text with none of them has no hit.
 KEYWORDS = sorted(
     "license licence licensed gpl lgpl agpl gfdl mpl epl cddl cpl eupl osl cecill asl bsd 0bsd wtfpl unlicense spdx cc cc0 "
@@ -130,7 +130,7 @@ def _built() -> list[Rule]:
                 tail = f" (?:v(?:ersion)? ?)?{number}"
                 rules.append(_rule(f"{p}{tail}", f"{label}-{v.replace(' ', '.')}", 80, 0.95))
                 if label in ("gpl", "lgpl", "agpl"):
-                    rules.append(_rule(f"{p}{tail} (?:of the license )?or (?:\\w+ )?{{0,3}}later(?: version)?", f"{label}-{v.replace(' ', '.')}-or-later", 90, 0.97))
+                    rules.append(_rule(f"{p}{tail} (?:of the license )?or (?:\\w+ ){{0,3}}later(?: version)?", f"{label}-{v.replace(' ', '.')}-or-later", 90, 0.97))
                     rules.append(_rule(f"{p}{tail} only", f"{label}-{v.replace(' ', '.')}-only", 90, 0.97))
         for v in _VERSIONS[label]:
             rules.append(_rule(f"spdx license identifier {label} {v}(?: 0)?", f"{label}-{v.replace(' ', '.')}", 95, 1.0))
