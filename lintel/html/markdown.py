@@ -17,7 +17,12 @@ _SKIPPED = frozenset("head title script style noscript template iframe".split())
 _WS = re.compile(r"[ \t\r\n\f]+")
 
 
+_SPECIAL = re.compile(r"[\\*`\[\]_]|^[-+=#~>\d]")
+
+
 def _escaped(text: str) -> str:
+    if not _SPECIAL.search(text):
+        return text
     for pattern, to in _ESCAPES:
         text = pattern.sub(to, text)
     return text

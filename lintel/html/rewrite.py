@@ -17,7 +17,10 @@ def absolutise(html: str, base: str | None) -> str:
     """URLs in attributes and in ``url(...)`` made absolute, on the text: what is commented out is rewritten too."""
     if not base or not re.match(r"(?i)https?://[^/]", base):
         return html
+    low = html.lower()
     for tag, attr in URL_ATTRIBUTES:
+        if f"<{tag}" not in low:
+            continue
         pattern = re.compile(rf"""(<{tag}\b[^>]*?\s{attr}\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
         html = pattern.sub(lambda m: f"{m[1]}{m[2]}{resolved(m[3], base)}{m[2]}", html)
     return re.sub(r"""url\(\s*["']?([^"')]*)["']?\s*\)""", lambda m: f'url("{resolved(m[1].strip(), base)}")', html)
@@ -202,14 +205,19 @@ def prepared(html: str, base: str | None = None, content: str | None = None, bod
     root = parse(absolutise(html, base) if base else html)
     if content or body:
         root = scoped(root, content, body)
-    reorder_landmarks(root)
+    # a step that has nothing to work on needs no walk
+    tags = {n.tag for n in root.elements()}
+    if "main" in tags:
+        reorder_landmarks(root)
     strip_active(root)
-    for step in (drop_empty_headings, keep_heading_numbers, continue_numbering, drop_empty_links, semantic_tables):
-        step(root)
+    headed = not tags.isdisjoint(HEADINGS)
+    steps = [(drop_empty_headings, headed), (keep_heading_numbers, headed), (continue_numbering, "ol" in tags), (drop_empty_links, "a" in tags), (semantic_tables, "table" in html)]
     if enhanced:
-        for step in (replace_formulas, correct_code_language, unix_line_ends):
+        shown = any(x in html for x in ("formula", "katex", "data-tex", "data-latex", "<math", "mjx-"))
+        steps += [(replace_formulas, shown), (correct_code_language, "matlab" in html), (unix_line_ends, "\r" in html)]
+    for step, needed in [*steps, (lift_breaks, "br" in tags)]:
+        if needed:
             step(root)
-    lift_breaks(root)
     return root
 
 

@@ -67,8 +67,16 @@ class Node:
             yield node
             todo += reversed(node.children)
 
-    def elements(self) -> Iterator[Node]:
-        return (n for n in self.walk() if n.tag)
+    def elements(self) -> list[Node]:
+        """Elements below in document order, as they are now."""
+        out, todo = [], self.children[::-1]
+        while todo:
+            node = todo.pop()
+            if node.tag:
+                out.append(node)
+                if node.children:
+                    todo += node.children[::-1]
+        return out
 
     def own_text(self) -> str:
         return "".join(c.text for c in self.children if c.tag is None)
@@ -120,6 +128,8 @@ class _Builder(HTMLParser):
 
     def _reopen(self) -> None:
         """Formatting that a block's end cut short goes on in the next one."""
+        if not self.active:
+            return
         for i, f in enumerate(self.active):
             if f not in self.stack:
                 again = self.stack[-1].append(Node(f.tag, dict(f.attrs)))

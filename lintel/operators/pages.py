@@ -31,6 +31,10 @@ TEXT_FIELDS = {
 }
 
 
+#: A page with none of these in its text has no metadata.
+SIGNS = ("tm-", "datetime", "keywords", "ld+json", "bookmarks-button")
+
+
 def metadata_of(root: Node) -> dict:
     """Article metadata by selector; absent fields are null."""
     out: dict = dict.fromkeys(x.split()[0] for x in METADATA.split(", ") if not x.startswith(("url",)))
@@ -102,7 +106,8 @@ def parsed_page(html: str | None, url: str | None, want: frozenset[str], content
     out: dict = dict.fromkeys(FIELDS)
     if html is None:
         return out
-    root = parse(html)
+    described = "metadata" in want and any(s in html for s in SIGNS)
+    root = parse(html) if described or want - {"markdown", "text", "metadata"} else Node("#root")
     if "title" in want:
         n = root.first("title")
         out["title"] = n.content().strip() if n is not None else None
