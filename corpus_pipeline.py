@@ -12,8 +12,9 @@ from lintel.llm.common import staged, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents at or over their language's threshold go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, model)
-    return scored.where(F.col("score") < toxicity.threshold_of(model)).select(*docs.columns)
+    scored = toxicity.score_documents(docs.withColumnRenamed("score", "__lx_score"), model)
+    own = [F.col("__lx_score").alias(c) if c == "score" else F.col(c) for c in docs.columns]
+    return scored.where(F.col("score") < toxicity.threshold_of(model)).select(*own)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,10 +121,10 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without documents that hold any benchmark window; columns as they were. Rows with a null id are
-    checked with all others under their row."""
-    hit = contamination(docs, items, id_col, **options).where("n_hit > 0").select(F.col(id_col).alias("_hit"))
+    """``docs`` without documents that hold any benchmark window; columns as they were. A row with a null
+    id can't be named by it and stays."""
+    hit = contamination(docs, items, id_col, **options).where(F.col(id_col).isNotNull() & (F.col("n_hit") > 0)).select(F.col(id_col).alias("_hit"))
     hit = staged(hit.distinct())
     if hit.count() <= BROADCAST_ROWS:
         hit = F.broadcast(hit)
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
