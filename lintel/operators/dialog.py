@@ -199,7 +199,7 @@ def as_markdown(turns: Column, title: Column, provider: Column, url: Column, met
     return F.concat(F.concat_ws("\n\n", head, F.when(F.size(turns) > 0, body)), F.lit("\n"))
 
 
-def as_demo_memory(turns: Column, title: Column, url: Column, conversation: Column, label: str = "web-capture-shared-dialog") -> Column:
+def as_demo_memory(turns: Column, title: Column, url: Column, conversation: Column, label: str = "shared-dialog") -> Column:
     def event(t: Column) -> Column:
         return _lines(
             F.concat(F.lit('  event "'), escape_links_notation(t["id"]), F.lit('"')), _field(4, "role", t["role"]), _field(4, "content", t["content"]),

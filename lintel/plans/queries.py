@@ -416,7 +416,7 @@ def _dialog_markdown(spark: SparkSession, d: str) -> DataFrame:
     return dialog.gathered(_turns(spark, d)).select("conv_id", F.md5(made).alias("digest"))
 
 
-@query("m12_demo_memory", f"""SELECT conv_id, md5('demo_memory' || chr(10) || string_agg('  event "chatgpt-turn-' || place || '"' || chr(10) || '    role "' || role || '"' || chr(10) || '    content "' || {_LINO.format("content")} || '"' || chr(10) || '    demoLabel "web-capture-shared-dialog"' || chr(10) || '    conversationId "' || conv_id || '"' || chr(10) || '    evidence "u"', chr(10) ORDER BY place) || chr(10)) AS digest FROM ({_TURNS}) GROUP BY conv_id""")
+@query("m12_demo_memory", f"""SELECT conv_id, md5('demo_memory' || chr(10) || string_agg('  event "chatgpt-turn-' || place || '"' || chr(10) || '    role "' || role || '"' || chr(10) || '    content "' || {_LINO.format("content")} || '"' || chr(10) || '    demoLabel "shared-dialog"' || chr(10) || '    conversationId "' || conv_id || '"' || chr(10) || '    evidence "u"', chr(10) ORDER BY place) || chr(10)) AS digest FROM ({_TURNS}) GROUP BY conv_id""")
 def _demo_memory(spark: SparkSession, d: str) -> DataFrame:
     made = dialog.as_demo_memory(F.col("turns"), F.lit(None).cast("string"), F.lit("u"), F.col("conv_id").cast("string"))
     return dialog.gathered(_turns(spark, d)).select("conv_id", F.md5(made).alias("digest"))
