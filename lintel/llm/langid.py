@@ -17,7 +17,6 @@ alphabet; repeated rows are each predicted; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,20 +40,30 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def grams(word: str) -> list[int]:
-    """Hashed n-grams of 1 to 4 characters of the word between boundaries; longer runs go in pieces of 40 letters."""
-    out = []
-    for s in range(0, len(word), 40):
-        w = f"<{word[s : s + 40]}>"
-        for n in (1, 2, 3, 4):
-            out += [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(w) - n + 1)]
-    return out
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, starts): hashed n-grams of 1 to 4 characters, a row of four for each character of the words between
+    boundaries, and where each word begins. BUCKETS stands for n-grams that would leave their word."""
+    marked = [f"<{w}>" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(m) for m in marked])
+    end = np.repeat(np.cumsum(size), size)
+    ids = np.full((len(code), 4), BUCKETS, np.int64)
+    h = np.zeros(len(code), np.uint64)
+    at = np.arange(len(code))
+    for n in range(4):
+        shifted = np.zeros(len(code), np.uint64)
+        shifted[: len(code) - n] = code[n:]
+        h = (h ^ (shifted + np.uint64(n + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        h = h ^ (h >> np.uint64(29))
+        inside = at + n < end
+        ids[inside, n] = ((h[inside] >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+    return ids, np.cumsum(size) - size
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    loglik: np.ndarray  # (BUCKETS, languages)
+    loglik: np.ndarray  # (BUCKETS + 1, languages); zeros in the last row
 
 
 def fit_counts(texts: list[str], langs: list[str]) -> LanguageModel | None:
@@ -62,20 +71,20 @@ def fit_counts(texts: list[str], langs: list[str]) -> LanguageModel | None:
     if not names:
         return None
     counts = np.zeros((BUCKETS, len(names)))
-    cache: dict[str, list[int]] = {}
     for k, name in enumerate(names):
         seen: dict[str, int] = {}
         for t, own in zip(texts, langs, strict=True):
             if own == name:
                 for w in words_of(t):
                     seen[w] = seen.get(w, 0) + 1
-        for w, n in seen.items():
-            g = cache.get(w)
-            if g is None:
-                g = cache[w] = grams(w)
-            np.add.at(counts[:, k], g, n)
+        listed = list(seen)
+        for s in range(0, len(listed), 20_000):
+            part = listed[s : s + 20_000]
+            ids, starts = grams(part)
+            times = np.repeat([seen[w] for w in part], np.diff(np.append(starts, len(ids))))
+            counts[:, k] += np.bincount(ids.ravel(), np.repeat(times, 4), BUCKETS + 1)[:BUCKETS]
     smooth = counts + 0.5 * (counts.sum(axis=1, keepdims=True) / len(names) + 1) / np.maximum(counts.sum(axis=0), 1)
-    return LanguageModel(names, np.log(smooth / smooth.sum(axis=0)))
+    return LanguageModel(names, np.vstack([np.log(smooth / smooth.sum(axis=0)), np.zeros(len(names))]))
 
 
 def fit(docs: DataFrame, fold: int = 0, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
@@ -139,19 +148,18 @@ def predictor(model: LanguageModel | None):
 
     def lookup(words: list[str]) -> np.ndarray:
         out = np.empty((len(words), m))
-        step = REMEMBERED // 2
+        step = REMEMBERED // 4
         for s in range(0, len(words), step):
             part = words[s : s + step]
             if len(ids) + len(part) > REMEMBERED:
                 ids.clear()
-            at = np.empty(len(part), np.int64)
-            for i, w in enumerate(part):
-                k = ids.get(w)
-                if k is None:
-                    k = ids[w] = len(ids)
-                    rows[k] = model.loglik[grams(w)].sum(axis=0)
-                at[i] = k
-            out[s : s + step] = rows[at]
+            new = [w for w in dict.fromkeys(part) if w not in ids]
+            if new:
+                own, starts = grams(new)
+                first = len(ids)
+                rows[first : first + len(new)] = np.add.reduceat(model.loglik[own].sum(axis=1), starts, axis=0)
+                ids.update(zip(new, range(first, first + len(new)), strict=True))
+            out[s : s + step] = rows[np.fromiter(map(ids.__getitem__, part), np.int64, len(part))]
         return out
 
     def predict(texts: list[str | None]) -> list[tuple[str, float]]:
