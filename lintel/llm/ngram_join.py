@@ -3,10 +3,11 @@
 A document is its set of distinct five-word shingles, as 64-bit hashes. The steps:
 
 1. Equal sets form classes; one text of each class goes on.
-2. Two sets of similarity 0.8 share at least 0.8 of either, so a class can only have a
-   partner if that many of its shingles occur in another class. Shingles travel packed
-   (32 bits within a slice of the hash range, classes named once a batch) to be counted;
-   classes below the bound leave. Collisions only let more classes stay.
+2. Two sets of similarity 0.8 share at least 0.8 of either, so at most ``n - ceil(0.8 n)``
+   shingles of a class that has a partner occur nowhere else. One half of the hash range is
+   enough to see that bound broken by any text of its own. That half's shingles travel packed
+   (32 bits within a slice of the range, classes named once a batch) to be counted; classes
+   over the bound leave. Collisions only let more classes stay.
 3. The rest order their shingles by rarity (a fixed-size count sketch over all of them) and
    post their prefix ``n - ceil(0.8 n) + 1``. Linked classes share a posted shingle, so
    stars over each inverted list, then components, give families closed under links.
@@ -44,7 +45,7 @@ BLOCK_TOKENS = 1_500_000
 #: DivideSkip's constant for the share of long lists.
 MU = 0.0085
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 class Shingler:
@@ -89,6 +90,11 @@ def set_digest(tokens: np.ndarray) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def examined(tokens: np.ndarray) -> np.ndarray:
+    """The shingles in the half of the hash range that is counted before anything else."""
+    return tokens[(tokens >> np.uint64(39)) & np.uint64(1) == 1]
+
+
 def least_shared(n: int, percent: int = PERCENT) -> int:
     """The smallest overlap that a set of n can have with any set it links to."""
     return -(-percent * n // 100)
@@ -101,23 +107,23 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.
 
 
 def _document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n, cls): one row per input row."""
+    """(_id, n, seen, cls): one row per input row; ``seen`` counts the examined shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for part in _slices(batches):
             sets = [shingles(t) for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())],
-                names=["_id", "n", "cls"],
+                [part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(examined(s)) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())],
+                names=["_id", "n", "seen", "cls"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n bigint, cls binary")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n bigint, seen bigint, cls binary")
 
 
 def _shared_counts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """(cls64, shared): how many of a class's shingles occur in another class too, in one row or several."""
+    """(cls64, shared): how many of a class's examined shingles occur in another class too, in one row or several."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -125,8 +131,8 @@ def _shared_counts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
             sets: dict[int, np.ndarray] = {}
             for t in part.column(0).to_pylist():
                 s = shingles(t)
-                if len(s):
-                    sets.setdefault(int.from_bytes(set_digest(s)[:8], "big", signed=True), s)
+                if len(own := examined(s)):
+                    sets.setdefault(int.from_bytes(set_digest(s)[:8], "big", signed=True), own)
             if not sets:
                 continue
             names = np.array(list(sets), np.int64)
@@ -171,7 +177,7 @@ def _shared_counts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
 
 
 def _class_sets(docs: DataFrame, survivors: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, n, rows, tokens) for each surviving class, from the text of its representative."""
+    """(cls, n, rows, tokens) for each surviving class, from the text of its representative; again for each row that repeats it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -186,7 +192,7 @@ def _class_sets(docs: DataFrame, survivors: DataFrame, id_col: str, text_col: st
         survivors = F.broadcast(survivors)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = texts.join(survivors, texts["_id"].eqNullSafe(survivors["rep"])).select("_text", "cls", "rows")
-    return found.mapInArrow(run, "cls binary, n bigint, rows bigint, tokens binary").dropDuplicates(["cls"])
+    return found.mapInArrow(run, "cls binary, n bigint, rows bigint, tokens binary")
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -299,8 +305,9 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray | None = None, percent:
 
 def _family_links(table: pa.Table) -> pa.Table:
     """Links within a family, or between two of its blocks: per class its links to documents and the local root."""
-    cls, rows = table.column("cls").to_pylist(), table.column("rows").to_numpy()
-    block = table.column("block").to_numpy()
+    cls = table.column("cls").to_pylist()
+    table = table.take([k for c, k in {c: k for k, c in enumerate(cls)}.items()])
+    cls, rows, block = table.column("cls").to_pylist(), table.column("rows").to_numpy(), table.column("block").to_numpy()
     sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     parent = list(range(len(cls)))
@@ -326,12 +333,14 @@ def _family_links(table: pa.Table) -> pa.Table:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links (documents that it links to)."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = staged(_document_sets(docs, id_col, text_col))
     head = F.conv(F.substring(F.hex("cls"), 1, 16), 16, -10).cast("bigint").alias("cls64")
-    classes = staged(rows.where("n > 0").groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("rows")).withColumn("cls64", head))
+    classes = staged(rows.where("n > 0").groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.count("*").alias("rows")).withColumn("cls64", head))
     counts = _shared_counts(docs, text_col, parts).groupBy("cls64").agg(F.sum("shared").alias("shared"))
-    survivors = staged(classes.join(counts, "cls64").where(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).select("cls", "rep", "rows"))
+    alone = F.col("seen") - F.coalesce("shared", F.lit(0))
+    may_link = alone <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
+    survivors = staged(classes.join(counts, "cls64", "left").where(may_link).select("cls", "rep", "rows"))
     sets = staged(_class_sets(docs, survivors, id_col, text_col))
 
     postings = _postings(sets, _rarity(sets))
@@ -352,9 +361,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tree = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct())
     named = classes.join(tree.select(F.col("node").alias("cls"), "root"), "cls").join(linked, "cls", "left")
     named = named.withColumn("component", F.min("rep").over(Window.partitionBy("root")))
-    alone = classes.join(tree.select(F.col("node").alias("cls")), "cls", "left_anti")
+    single = classes.join(tree.select(F.col("node").alias("cls")), "cls", "left_anti")
     every = named.select("cls", "rows", F.coalesce("links", F.lit(0)).alias("links"), "component").unionByName(
-        alone.where("rows > 1").select("cls", "rows", F.lit(0).cast("bigint").alias("links"), F.col("rep").alias("component"))
+        single.where("rows > 1").select("cls", "rows", F.lit(0).cast("bigint").alias("links"), F.col("rep").alias("component"))
     )
     return (
         rows.join(every, (rows["cls"] == every["cls"]) & (rows["n"] > 0), "left")
@@ -370,12 +379,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id; columns as they were.
 
-    Rows that agree in id and text count as one document of which one row stays."""
+    Rows that agree in id and text count as one document of which one row stays. A row with a null id can't be named by
+    it and stays."""
     found = jaccard_components(docs, id_col, text_col)
-    gone = staged(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lx_id")).distinct())
+    gone = staged(found.where(F.col(id_col).isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lx_id")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__lx_id"]), "left_anti")
+    kept = docs.join(gone, docs[id_col] == gone["__lx_id"], "left_anti")
     if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
         order = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
         kept = kept.withColumn("__lx_n", F.row_number().over(order)).where("__lx_n = 1").drop("__lx_n")
