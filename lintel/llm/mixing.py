@@ -64,8 +64,12 @@ def features(text: Column) -> Column:
     return F.array(*[rate(s) for s in STRINGS])
 
 
-def posteriors(m: Mixture, x: Column) -> Column:
-    """array<double> over ``m.domains`` from the features ``x``."""
+def with_posteriors(df: DataFrame, m: Mixture, out: str = "__lx_p") -> DataFrame:
+    """``df`` with ``out``, array<double> over ``m.domains``, from the features ``__lx_x``.
+
+    The log-likelihoods are a column of their own: compiled, and computed once for all that use them.
+    """
+    x = F.col("__lx_x")
 
     def loglik(k: int) -> Column:
         out = F.lit(math.log(m.prior[k]) - sum(math.log(s) for s in m.deviation[k]))
@@ -74,10 +78,10 @@ def posteriors(m: Mixture, x: Column) -> Column:
             out = out - z * z / 2
         return out
 
-    logs = F.array(*[loglik(k) for k in range(len(m.domains))])
-    grown = F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
-    total = F.aggregate(grown, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(grown, lambda v: v / total)
+    logs = df.withColumn("__lx_l", F.array(*[loglik(k) for k in range(len(m.domains))])).withColumn("__lx_m", F.array_max("__lx_l"))
+    grown = logs.withColumn("__lx_e", F.transform("__lx_l", lambda v: F.exp(v - F.col("__lx_m"))))
+    total = grown.withColumn("__lx_t", F.aggregate("__lx_e", F.lit(0.0), lambda a, v: a + v))
+    return total.withColumn(out, F.transform("__lx_e", lambda v: v / F.col("__lx_t"))).drop("__lx_l", "__lx_m", "__lx_e", "__lx_t")
 
 
 def rate(m: Mixture, p: Column) -> Column:
@@ -92,9 +96,15 @@ def rate(m: Mixture, p: Column) -> Column:
     return F.aggregate(rounds, F.lit(1.0), moved)
 
 
-def _classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str) -> Mixture | None:
+def featured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with their tokens and features in place of the text, staged: all later steps read this and no text."""
+    own = [c for c in docs.columns if c != text_col]
+    return staged(docs.select(*own, tokens(F.col(text_col)).alias("__lx_n"), features(F.col(text_col)).alias("__lx_x")))
+
+
+def _classifier(rows: DataFrame, labels: DataFrame, id_col: str, domain_col: str) -> Mixture | None:
     named = labels.select(F.col(id_col).alias("__lx_id")).where("__lx_id is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("__lx_id"), F.col(domain_col).cast("string").alias("d"), features(F.col(text_col)).alias("x")).where("d is not null")
+    rows = rows.select(F.col(id_col).alias("__lx_id"), F.col(domain_col).cast("string").alias("d"), F.col("__lx_x").alias("x")).where("d is not null")
     labelled = rows.join(named, "__lx_id", "left_semi")
     stats = [f(F.col("x")[k]) for k in range(len(STRINGS)) for f in (F.avg, F.stddev_pop)]
     found = labelled.groupBy("d").agg(F.count("*").alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(stats)]).orderBy(F.desc("n"), "d").limit(DOMAINS).collect()
@@ -113,11 +123,12 @@ def _classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> Mixture | None:
-    m = _classifier(docs, labels, id_col, text_col, domain_col)
+    """``docs`` may be ``featured`` already."""
+    rows = docs if "__lx_x" in docs.columns else featured(docs.select(id_col, domain_col, text_col), text_col)
+    m = _classifier(rows, labels, id_col, domain_col)
     if m is None:
         return None
-    seen = docs.select(tokens(F.col(text_col)).alias("n"), features(F.col(text_col)).alias("x"))
-    seen = staged(seen.select("n", posteriors(m, F.col("x")).alias("p")))
+    seen = staged(with_posteriors(rows.select("__lx_n", "__lx_x"), m).select(F.col("__lx_n").alias("n"), F.col("__lx_p").alias("p")))
     size = len(m.domains)
 
     def totals(r: Column) -> list[float]:
@@ -140,14 +151,15 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def mixed(docs: DataFrame, m: Mixture | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, domain (the likeliest), domain_weight (its posterior) and rate."""
-    own = [c for c in docs.columns if c not in ("n_tokens", "domain", "domain_weight", "rate")]
-    n = tokens(F.col(text_col))
+    """``docs``, or what ``featured`` made of them, with n_tokens, domain (the likeliest), domain_weight (its posterior) and rate."""
+    ready = "__lx_x" in docs.columns
+    own = [c for c in docs.columns if c not in ("n_tokens", "domain", "domain_weight", "rate", "__lx_n", "__lx_x")]
+    n = F.col("__lx_n") if ready else tokens(F.col(text_col))
     if m is None:
         none = F.lit(None)
         return docs.select(*own, n.alias("n_tokens"), none.cast("string").alias("domain"), none.cast("double").alias("domain_weight"), F.lit(1.0).alias("rate"))
-    seen = docs.select(*own, n.alias("__lx_n"), features(F.col(text_col)).alias("__lx_x"))
-    seen = seen.select(*own, "__lx_n", posteriors(m, F.col("__lx_x")).alias("__lx_p"))
+    seen = docs if ready else docs.select(*own, n.alias("__lx_n"), features(F.col(text_col)).alias("__lx_x"))
+    seen = with_posteriors(seen, m)
     best = F.array_max("__lx_p")
     return seen.select(
         *own,
