@@ -157,6 +157,33 @@ def test_shared_passages(odd, texts):
     assert by_id[7]["copy_of"] is not None
 
 
+def test_shared_passages_of_frequent_seeds(spark):
+    """Each seed of a passage that two texts share also occurs alone in one text below them and in one between them."""
+    rng, shingler = np.random.default_rng(5), ngram_join.Shingler()
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    place = lambda w: chain_dedup.text_class(shingler.word_hashes(" ".join(w)))[0]
+
+    def found(make, lo, hi, seed=None):
+        while True:
+            w = make()
+            if lo <= place(w) < hi and (seed is None or seed in chain_dedup.seeds_of(shingler.word_hashes(" ".join(w)))[1]):
+                return w
+
+    passage = fresh(60)
+    x, y = (found(lambda: fresh(30) + passage + fresh(30), lo, lo + 40) for lo in (80, 200))
+    texts = [x, y]
+    at, hashes = chain_dedup.seeds_of(shingler.word_hashes(" ".join(x)))
+    seeds = [(int(k), h) for k, h in zip(at, hashes, strict=True) if 30 <= k <= 84]
+    assert len(seeds) > 3
+    for k, h in seeds:
+        texts += [found(lambda k=k: fresh(20) + x[k : k + 6] + fresh(20), lo, hi, h) for lo, hi in ((0, 80), (120, 200))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chain_dedup.shared_passages(docs).collect()}
+    assert len(got) == len(texts)
+    assert {k: r["n_shared"] for k, r in got.items()} == {k: 60 if k < 2 else 0 for k in got}
+    assert got[0]["passages"][0]["partner"] == 1 and got[1]["passages"][0]["partner"] == 0
+
+
 def test_chains_against_all_subsets():
     matches = [(0, 5), (8, 12), (10, 40), (20, 22), (21, 3), (30, 33), (50, 51)]
     best = chain_dedup.chains(matches)[0]
