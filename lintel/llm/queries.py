@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm import langid, mixing, toxicity
-from lintel.llm.chain_dedup import shared_passages
+from lintel.llm.chain_dedup import passage_pairs, shared_passages
 from lintel.llm.chat import format_chats, loss_text, parse
 from lintel.llm.common import bernoulli_fold, table
 from lintel.llm.decontam import contamination
@@ -108,6 +108,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"))
 
 
+def op10_passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_pairs(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -173,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_substring_dedup": op10_substring_dedup,
+        "op10_passage_pairs": op10_passage_pairs,
         "pipeline": pipeline,
     }
 

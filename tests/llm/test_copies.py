@@ -184,6 +184,23 @@ def test_shared_passages_of_frequent_seeds(spark):
     assert got[0]["passages"][0]["partner"] == 1 and got[1]["passages"][0]["partner"] == 0
 
 
+def test_passage_pairs_name_all_links(spark):
+    """A passage that one text shares with one text, and a part of it with another: both links stay."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    p = fresh(160)
+    texts = [fresh(30) + p + fresh(30), fresh(20) + p[:90] + fresh(20), fresh(25) + p[60:] + fresh(20), fresh(100)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([*texts, texts[1]])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chain_dedup.shared_passages(docs).collect()}
+    assert [got[k]["text_id"] for k in range(5)] == [0, 1, 2, 3, 1]
+    pairs = {(*sorted((r["a"], r["b"])),): r for r in chain_dedup.passage_pairs(docs).collect()}
+    assert {(0, 1), (0, 2)} <= set(pairs) and all(3 not in k for k in pairs)
+    for (x, y), r in pairs.items():
+        for side, start, end in ((r["a"], r["a_start"], r["a_end"]), (r["b"], r["b_start"], r["b_end"])):
+            assert all(w in p for w in texts[side][start:end]) and end - start >= 40, (x, y)
+    assert all(got[k]["n_links"] == sum(got[k]["text_id"] in x for x in pairs) for k in range(5))
+
+
 def test_chains_against_all_subsets():
     matches = [(0, 5), (8, 12), (10, 40), (20, 22), (21, 3), (30, 33), (50, 51)]
     best = chain_dedup.chains(matches)[0]
