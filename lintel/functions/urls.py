@@ -49,8 +49,8 @@ _KEPT = "/,.'!()*:@&=+$;~-_%"
 def resolve_root_relative(ref: Column, base: Column) -> Column:
     """Origin and percent-encoded path for a reference that begins with one slash; else null."""
     encoded = F.replace(F.url_encode(ref), F.lit("+"), F.lit("%20"))
-    for ch in "/,'!()*:@&=+$;~%?#":
-        encoded = F.replace(encoded, F.lit(quote(ch, safe="")), F.lit(ch))
+    for ch in "/,'!()*:@&=+$;~?#%":  # % last: %3F of the reference itself stays
+        encoded = F.replace(encoded, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
     return F.when(F.regexp_like(ref, F.lit("^/(?!/)")), F.concat(origin(base), encoded))
 
 

@@ -96,9 +96,9 @@ def _link_hosts(spark: SparkSession, d: str) -> DataFrame:
     return search.first_k(links, ["host"], [F.desc("n"), "href"], 3).select("host", "href", "n", "rank")
 
 
-@query("u2_root_relative", f"SELECT page_id, CAST(ord AS INTEGER) AS ord, CASE WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN regexp_extract(url, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%27', ''''), '%21', '!'), '%28', '('), '%29', ')'), '%2A', '*'), '%3A', ':'), '%40', '@'), '%26', '&'), '%3F', '?') END AS url FROM ({_LINKS}) WHERE href NOT SIMILAR TO '.*[=+$;~%#].*'")
+@query("u2_root_relative", f"SELECT page_id, CAST(ord AS INTEGER) AS ord, CASE WHEN href LIKE '/%' AND href NOT LIKE '//%' THEN regexp_extract(url, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%27', ''''), '%21', '!'), '%28', '('), '%29', ')'), '%2A', '*'), '%3A', ':'), '%40', '@'), '%26', '&'), '%3F', '?'), '%3D', '='), '%2B', '+'), '%24', '$'), '%3B', ';'), '%23', '#'), '%25', '%') END AS url FROM ({_LINKS})")
 def _root_relative(spark: SparkSession, d: str) -> DataFrame:
-    links = pages.raw_links(table(spark, d, "pages")).where(~F.regexp_like("href", F.lit(r"[=+$;~%#]")))
+    links = pages.raw_links(table(spark, d, "pages"))
     return links.select("page_id", "ord", U.resolve_root_relative(F.col("href"), F.col("url")).alias("url"))
 
 
@@ -422,11 +422,11 @@ def _demo_memory(spark: SparkSession, d: str) -> DataFrame:
     return dialog.gathered(_turns(spark, d)).select("conv_id", F.md5(made).alias("digest"))
 
 
-@query("x15_transcript_turns", f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS n, role, md5(content) AS digest FROM ({_TURNS}) WHERE NOT regexp_matches(content, '(^|\\n)\\s*(u|a|user|assistant):', 'i')")
+# No SQL: a line of a turn that begins like a role opens a turn of its own.
+@query("x15_transcript_turns")
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
-    plain = _turns(spark, d).where(~F.regexp_like("content", F.lit(r"(?i)(^|\n)\s*(u|a|user|assistant):")))
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("A: "), "content")
-    joined = plain.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("text"))
+    joined = _turns(spark, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("text"))
     return dialog.transcript_turns(joined, "conv_id", "text").select("conv_id", "n", "role", F.md5("content").alias("digest"))
 
 
@@ -519,9 +519,9 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", richdoc.render_model(chunks, F.lit(None).cast("string"), F.lit(None).cast("string"))["markdown"].alias("markdown"))
 
 
-@query("r4b_range_join", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 50 WHERE p_partkey <= 400")
+@query("r4b_range_join", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 50")
 def _range(spark: SparkSession, d: str) -> DataFrame:
-    ranges = table(spark, d, "part").where("p_partkey <= 400").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 50).alias("hi"))
+    ranges = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 50).alias("hi"))
     dealt = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / 50), F.floor(F.col("hi") / 50))))
     points = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.floor(F.col("o_totalprice") / 50).alias("_b"))
     return points.join(dealt, "_b").where("o_totalprice >= lo and o_totalprice < hi").select("o_orderkey", "p_partkey")

@@ -137,3 +137,39 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["key"], r["at_ms"], r["status"]) for r in spark.table("settled").collect()}
     want = {(r["key"], r["settled_ms"], "settled") for r in settled(df, "key", "ts_ms", "fingerprint").where("settled_ms is not null").collect()}
     assert got == want == {("a", 2600, "settled")}
+
+
+def test_queries_without_filters(spark, tmp_path):
+    """Links with query values, role-like lines in turns, and all parts of the range join, against plain versions."""
+    import hashlib
+    import re
+    from urllib.parse import quote
+
+    from lintel.plans import queries as plans
+
+    hrefs = ["/a?x=1&y=2#f", "/p%20q%3Fr%23s", "/a+b;c=$~", "//h/x", "b", "/é x"]
+    html = "".join(f'<a href="{x}">x</a>' for x in hrefs)
+    spark.createDataFrame([(1, "https://h.org/d/e?z", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["ord"]: r["url"] for r in plans.QUERIES["u2_root_relative"](spark, str(tmp_path)).collect()}
+    assert got == {k: "https://h.org" + quote(x, safe="/,'!()*:@&=+$;~%?#") if re.match("/(?!/)", x) else None for k, x in enumerate(hrefs)}
+
+    turns = [(1, 0, "user", "hi\nA: no\nmore"), (1, 1, "assistant", "user:\n\nu: x\n  Assistant:  y"), (1, 2, "user", "bye"), (2, 0, "assistant", "plain")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = []
+    for conv in (1, 2):
+        text, parts = "\n\n".join(("User: " if r == "user" else "A: ") + x for c, _, r, x in turns if c == conv), []
+        for line in text.split("\n"):
+            m = re.match(r"\s*(user:|assistant:|u:|a:)", line, re.I)
+            if m:
+                parts.append(["user" if m[1].lower()[0] == "u" else "assistant", line[m.end() :].lstrip()])
+            elif parts:
+                parts[-1][1] += "\n" + line
+        kept = [(r, x.strip()) for r, x in parts if x.strip()]
+        want += [(conv, n, r, hashlib.md5(x.encode()).hexdigest()) for n, (r, x) in enumerate(kept, 1)]
+    assert sorted(map(tuple, plans.QUERIES["x15_transcript_turns"](spark, str(tmp_path)).collect())) == want and len(want) == 7
+
+    parts, orders = [(k, 900.0 + k / 10) for k in range(1, 801)], [(k, 90_000.0 + 37 * k) for k in range(300)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    met = sorted(map(tuple, plans.QUERIES["r4b_range_join"](spark, str(tmp_path)).collect()))
+    assert met == sorted((o, p) for o, x in orders for p, y in parts if y * 100 <= x < y * 100 + 50) and any(p > 400 for _, p in met)
