@@ -89,8 +89,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.featured(table(spark, sf_dir, "documents"))
-    found = mixing.mixed(docs, mixing.fit(docs, table(spark, sf_dir, "labels")))
+    found = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "source"])
     return found.select("doc_id", "source", "n_tokens", "domain", "domain_weight", "rate", (F.col("n_tokens") * F.col("rate")).alias("expected_tokens"))
 
 

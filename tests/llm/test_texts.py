@@ -1,8 +1,10 @@
 """Decontamination, license scans, chat formatting and mixing against brute force and round trips."""
 
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,19 +124,86 @@ def test_chat_of_an_unknown_layout(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, y string"))
 
 
-def test_mixing_meets_targets(spark):
-    en, fr = "the weather and the theatre there ", "le thé à la crème était là qué "
-    rows = [(k, (en if k % 4 else fr) * (1 + k % 7), "en" if k % 4 else "fr", None if k % 5 else "x") for k in range(200)] + [(900, None, None, "x"), (901, "", "en", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, rate string")
-    labels = docs.select("doc_id")
-    m = mixing.fit(docs, labels, {"en": 0.5, "fr": 0.5})
-    out = mixing.mixed(docs, m)
-    assert out.count() == 202 and out.where("rate < 0 or rate is null").count() == 0
-    shares = {r["domain"]: r["n"] for r in out.where("n_tokens > 0").groupBy("domain").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("n")).collect()}
-    assert abs(shares["en"] / sum(shares.values()) - 0.5) < 0.02
+@pytest.fixture(scope="module")
+def spoken_mix(spark):
+    rng = random.Random(11)
+    own = {"en": "the of and weather theatre there".split(), "fr": "le la les était crème qué".split(), "de": "der die und über straße nicht".split()}
+    both = "radio taxi hotel museum piano".split()
+    rows = []
+    for k in range(300):
+        lang = ["en", "en", "en", "fr", "fr", "de"][k % 6]
+        text = " ".join(rng.choice(own[lang] if rng.random() < 0.2 else both) for _ in range(rng.randrange(1, 25)))
+        rows.append((k, text.upper() if k % 9 == 0 else text + " .", lang, None if k % 5 else "x"))
+    rows += [(900, None, None, "x"), (901, "", "en", "x"), (None, "the of", "en", "y"), (902, "le la " * 20_000, None, None), rows[3], rows[3]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, rate string").repartition(3)
+
+
+def mixing_truth(rows, labelled, targets):
+    """Posteriors and rates by a plain count and by projected gradient on all rates, run for very long."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    learnt = [r for r in rows if r["doc_id"] in labelled and r["lang"] is not None]
+    domains = sorted({r["lang"] for r in learnt})
+    counts = {d: Counter(w for r in learnt if r["lang"] == d for w in split(r["text"])) for d in domains}
+    prior = np.array([sum(r["lang"] == d for r in learnt) / len(learnt) for d in domains])
+    p = []
+    for r in rows:
+        w = split(r["text"])
+        logs = [sum(np.log((counts[d][x] + mixing.SMOOTH) / (counts[d].total() + mixing.SMOOTH * mixing.BUCKETS)) for x in w) for d in domains]
+        logs = np.array(logs) * min(1, mixing.EVIDENCE / max(1, len(w))) + np.log(prior)
+        e = np.exp(logs - logs.max())
+        p.append(e / e.sum())
+    p, n = np.array(p), np.array([len(split(r["text"])) for r in rows], float)
+    q = (n @ p) / n.sum()
+    t = np.array([targets[d] for d in domains]) / sum(targets.values())
+    rate = np.ones(len(rows))
+    for _ in range(20_000):
+        gap = (n * rate) @ p / n.sum() - t
+        rate = np.maximum(0, rate - (p @ (gap / q) + mixing.KEEP * (rate - 1)) / (1 + mixing.KEEP))
+    return p, n, rate
+
+
+@pytest.mark.parametrize("targets", [{"en": 0.4, "fr": 0.3, "de": 0.3}, {"en": 1.0, "fr": 0.0, "de": 0.0}])
+def test_mixing_against_a_plain_fit(spark, spoken_mix, targets):
+    labels = spoken_mix.where("doc_id % 7 < 4 and doc_id < 900").select("doc_id").unionByName(spark.createDataFrame([(901,), (None,), (5000,)], "doc_id long"))
+    out = mixing.mixed(spoken_mix, labels, targets)
+    assert out.columns == ["doc_id", "text", "lang", "n_tokens", "domain", "domain_weight", "rate"]
+    rows = out.collect()
+    p, n, rate = mixing_truth(rows, {r["doc_id"] for r in labels.collect()} - {None}, targets)
+    assert len(rows) == 306 and [r["n_tokens"] for r in rows] == n.tolist()
+    assert np.allclose([r["domain_weight"] for r in rows], p.max(axis=1))
+    assert [r["domain"] for r in rows] == [sorted(targets)[k] for k in p.argmax(axis=1)]
+    got = np.array([r["rate"] for r in rows])
+    assert (got >= 0).all()
+    if min(targets.values()) > 0:  # else single rates creep on for thousands of rounds that move no share
+        assert np.abs(got - rate).max() < 0.02
+    held, wanted = (n * got) @ p / n.sum(), (n * rate) @ p / n.sum()
+    assert np.abs(held - wanted).max() < 2e-3
+    assert len({r["rate"] for r in rows if r["doc_id"] == 3}) == 1  # repeated rows
+
+
+def test_mixing_rejects_unknown_targets(spoken_mix):
+    with pytest.raises(ValueError, match="no labelled row"):
+        mixing.mixed(spoken_mix, spoken_mix.select("doc_id"), {"xx": 1.0})
+
+
+def test_mixing_that_does_not_converge_is_an_error(spoken_mix, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="converge"):
+        mixing.mixed(spoken_mix, spoken_mix.select("doc_id"), {"en": 0.2, "fr": 0.3, "de": 0.5})
 
 
 def test_mixing_without_labels(odd, nothing, spark):
     none = spark.createDataFrame([], "doc_id long")
-    assert mixing.fit(odd, none) is None and mixing.fit(nothing, none) is None
-    assert mixing.mixed(odd, None).where("rate = 1.0").count() == odd.count()
+    assert mixing.classifier(odd, none) is None and mixing.classifier(nothing, none) is None
+    out = mixing.mixed(odd, none)
+    assert out.where("rate = 1.0").count() == odd.count()
+    assert out.columns == [*[c for c in odd.columns if c not in mixing.MADE], *mixing.MADE]
+    labels = odd.select("doc_id")
+    assert mixing.mixed(nothing, labels).count() == 0 and mixing.mixed(odd, labels).count() == odd.count()
+
+
+def test_mixing_of_empty_rows(odd):
+    """Labelled rows, but no table to mix: the model stands, and nothing comes out."""
+    m = mixing.classifier(odd, odd.select("doc_id"))
+    placed = mixing.memberships(odd.where("false"), m)
+    assert mixing.solve(placed, m).steps == []
