@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +30,44 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Lets Spark delete a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df``, written once as Parquet in the shared folder and read again.
 
     Cuts the lineage like ``checkpoint()``, survives the loss of executors, is
-    computed once however often it is read, and keeps column pruning.
+    computed once however often it is read, and keeps column pruning. The shuffle
+    files of its computation go when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lintel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_STAGED: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``staged`` wrote for these tables; nothing that is still to be computed may read them."""
+    for df in tables:
+        ref, path = _STAGED.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def ascii_lower(text: Column) -> Column:

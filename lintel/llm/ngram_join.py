@@ -6,15 +6,19 @@ A document is its set of distinct five-word shingles, as 64-bit hashes. The step
 2. Two sets of similarity 0.8 share at least 0.8 of either, so at most ``n - ceil(0.8 n)``
    shingles of a class that has a partner occur nowhere else. One half of the hash range is
    enough to see that bound broken by any text of its own. That half's shingles travel packed
-   (32 bits within a slice of the range, classes named once a batch) to be counted; classes
-   over the bound leave. Collisions only let more classes stay.
+   (32 bits within a slice of the range, classes named once a batch; what several classes of a
+   batch share travels once) to be counted; classes over the bound leave. Collisions and
+   classes met in several batches only let more classes stay. Sets and packed shingles come
+   from one reading of the texts, what stays from a second one.
 3. The rest order their shingles by rarity (a fixed-size count sketch over all of them) and
-   post their prefix ``n - ceil(0.8 n) + 1``. Linked classes share a posted shingle, so
-   stars over each inverted list, then components, give families closed under links.
+   post their prefix ``n - ceil(0.8 n) + 1``, apart by bands of set size that linked sets are
+   at most one apart in. Linked classes share a posted shingle, so stars over each inverted
+   list, then components, give families closed under links.
 4. In a family every class queries the others for its T-occurrence: L long inverted lists
    are set aside, the short ones are merged, and those that reach ``T - L`` are probed in
    the long lists by binary search. The counts are exact overlaps; all of them are compared
-   with the threshold. A family over ``BLOCK_TOKENS`` shingles is searched in pairs of blocks.
+   with the threshold. Small families share a task; one over ``BLOCK_TOKENS`` shingles is
+   searched in blocks, of one band or of two neighbouring ones, since others can't link.
 5. Links form the components; classes unfold to documents.
 
 Defined results: a null or empty text, or one without words, has an empty set, no links and
@@ -26,15 +30,16 @@ columns are ignored. Texts of any length are used whole.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import BROADCAST_ROWS, staged
+from lintel.llm.common import BROADCAST_ROWS, dropped, staged
 from lintel.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -100,61 +105,93 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows, of about ``size`` bytes at most where rows are long."""
     for batch in batches:
-        for s in range(0, batch.num_rows, rows):
-            yield batch.slice(s, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for s in range(0, batch.num_rows, step):
+            yield batch.slice(s, step)
 
 
-def _document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n, seen, cls): one row per input row; ``seen`` counts the examined shingles."""
+#: In the place of a class: a shingle that several classes of its batch hold, all credited in their batch.
+CREDITED = np.int64(0)
+
+
+def _by_bucket(ids: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its packed ids and counts)."""
+    slot = (ids.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
+    order = np.argsort(slot, kind="stable")
+    ids, n, slot = ids[order], n[order].astype(np.int32), slot[order]
+    cuts = np.searchsorted(slot, np.arange(parts + 1, dtype=np.uint64))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, ids[cuts[b] : cuts[b + 1]].tobytes() + n[cuts[b] : cuts[b + 1]].tobytes()
+
+
+def _packed_sets(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """Rows of three kinds from one reading of the texts: (_id, n, seen, cls) of each input row, ``seen`` counting the
+    examined shingles; ``p, shingles``, a slice's packed shingles; ``p, credits``, a bucket's classes with the number of
+    their shingles that other classes of their batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        for part in _slices(batches):
+        for part in _slices(batches, 4096):
             sets = [shingles(t) for t in part.column("_text").to_pylist()]
+            seen = [examined(s) for s in sets]
+            digests = [set_digest(s) for s in sets]
+            own: dict[int, np.ndarray] = {}
+            for d, s in zip(digests, seen, strict=True):
+                if len(s):
+                    own.setdefault(int.from_bytes(d[:8], "big", signed=True), s)
+            ps, blobs, credits = [], [], []
+            if own:
+                names = np.append(np.array(list(own), np.int64), CREDITED)
+                tokens = np.concatenate(list(own.values()))
+                owner = np.repeat(np.arange(len(own), dtype=np.uint16), [len(s) for s in own.values()])
+                order = np.argsort(tokens, kind="stable")
+                tokens, owner = tokens[order], owner[order]
+                first = np.append(True, tokens[1:] != tokens[:-1])
+                times = np.diff(np.append(np.flatnonzero(first), len(tokens)))
+                several = np.repeat(times > 1, times)
+                n = np.bincount(owner[several], minlength=len(own))
+                credits = list(_by_bucket(names[:-1][n > 0], n[n > 0], parts))
+                owner[several] = len(own)
+                tokens, owner = tokens[first], owner[first]
+                slot = (tokens >> np.uint64(40)) % np.uint64(parts)
+                order = np.argsort(slot, kind="stable")
+                cuts = np.searchsorted(slot[order], np.arange(parts + 1, dtype=np.uint64))
+                low, owner = tokens[order].astype(np.uint32), owner[order]
+                for p in range(parts):
+                    a, b = cuts[p], cuts[p + 1]
+                    if a < b:
+                        local, index = np.unique(owner[a:b], return_inverse=True)
+                        ps.append(p)
+                        blobs.append(np.array([len(local), b - a], np.int64).tobytes() + names[local].tobytes() + index.astype(np.uint16).tobytes() + low[a:b].tobytes())
+            k, none = part.num_rows, len(ps) + len(credits)
+            ids = part.column("_id")
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(examined(s)) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())],
-                names=["_id", "n", "seen", "cls"],
+                [
+                    pa.concat_arrays([ids, pa.nulls(none, ids.type)]),
+                    pa.array([len(s) for s in sets] + [None] * none, pa.int64()),
+                    pa.array([len(s) for s in seen] + [None] * none, pa.int64()),
+                    pa.array(digests + [None] * none, pa.binary()),
+                    pa.array([None] * k + ps + [b for b, _ in credits], pa.int32()),
+                    pa.array([None] * k + blobs + [None] * len(credits), pa.binary()),
+                    pa.array([None] * (k + len(ps)) + [x for _, x in credits], pa.binary()),
+                ],
+                names=["_id", "n", "seen", "cls", "p", "shingles", "credits"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n bigint, seen bigint, cls binary")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"_id {kind}, n bigint, seen bigint, cls binary, p int, shingles binary, credits binary")
 
 
-def _shared_counts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """(cls64, shared): how many of a class's examined shingles occur in another class too, in one row or several."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
-        for part in _slices(batches, 4096):
-            sets: dict[int, np.ndarray] = {}
-            for t in part.column(0).to_pylist():
-                s = shingles(t)
-                if len(own := examined(s)):
-                    sets.setdefault(int.from_bytes(set_digest(s)[:8], "big", signed=True), own)
-            if not sets:
-                continue
-            names = np.array(list(sets), np.int64)
-            tokens = np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(names), dtype=np.uint16), [len(s) for s in sets.values()])
-            slot = (tokens >> np.uint64(40)) % np.uint64(parts)
-            order = np.argsort(slot, kind="stable")
-            cuts = np.searchsorted(slot[order], np.arange(parts + 1, dtype=np.uint64))
-            low, owner = tokens[order].astype(np.uint32), owner[order]
-            ps, blobs = [], []
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a < b:
-                    local, index = np.unique(owner[a:b], return_inverse=True)
-                    head = np.array([len(local), b - a], np.int64).tobytes()
-                    ps.append(p)
-                    blobs.append(head + names[local].tobytes() + index.astype(np.uint16).tobytes() + low[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "blob"])
+def _shared_counts(packed: DataFrame, parts: int) -> DataFrame:
+    """(cls64, shared): how many of a class's examined shingles occur in another class too."""
 
     def count(table: pa.Table) -> pa.Table:
         tokens, owners = [], []
-        for blob in table.column("blob").to_pylist():
+        for blob in table.column("shingles").to_pylist():
             k, n = np.frombuffer(blob, np.int64, 2)
             names = np.frombuffer(blob, np.int64, k, 16)
             owners.append(names[np.frombuffer(blob, np.uint16, n, 16 + 8 * k)])
@@ -164,16 +201,26 @@ def _shared_counts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         tok, own = tok[order], own[order]
         starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         several = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
-        keep = np.repeat(several, np.diff(np.append(starts, len(tok))))
+        keep = np.repeat(several, np.diff(np.append(starts, len(tok)))) & (own != CREDITED)
         tok, own = tok[keep], own[keep]
         pairs = np.lexsort((tok, own))
         tok, own = tok[pairs], own[pairs]
         first = np.append(True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])) if len(tok) else np.zeros(0, bool)
-        ids, n = np.unique(own[first], return_counts=True)
-        return pa.table({"cls64": pa.array(ids, pa.int64()), "shared": pa.array(n, pa.int64())})
+        found = list(_by_bucket(*np.unique(own[first], return_counts=True), parts))
+        return pa.table({"p": pa.array([b for b, _ in found], pa.int32()), "credits": pa.array([x for _, x in found], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, n = [], []
+        for blob in table.column("credits").to_pylist():
+            k = len(blob) // 12
+            ids.append(np.frombuffer(blob, np.int64, k))
+            n.append(np.frombuffer(blob, np.int32, k, 8 * k))
+        ids, at = np.unique(np.concatenate(ids), return_inverse=True)
+        return pa.table({"cls64": pa.array(ids, pa.int64()), "shared": pa.array(np.bincount(at, np.concatenate(n)).astype(np.int64), pa.int64())})
 
-    packed = docs.select(F.col(text_col).alias("_text")).mapInArrow(pack, "p int, blob binary")
-    return packed.groupBy("p").applyInArrow(count, "cls64 bigint, shared bigint")
+    counted = packed.where("shingles is not null").select("p", "shingles").groupBy("p").applyInArrow(count, "p int, credits binary")
+    credits = packed.where("credits is not null").select("p", "credits").unionByName(counted)
+    return credits.groupBy("p").applyInArrow(add, "cls64 bigint, shared bigint")
 
 
 def _class_sets(docs: DataFrame, survivors: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -220,81 +267,120 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def size_band(n: Column) -> Column:
+    """Sets that can link are at most one band apart."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT * 1.0001)).cast("int")
+
+
 def _postings(sets: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(tok, cls): the rarest ``n - T + 1`` shingles of each class."""
+    """(tok, cls64): the rarest ``n - T + 1`` shingles of each class, once with its size band and once with the next, mixed into tok."""
     shared = sets.sparkSession.sparkContext.broadcast(rarity)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 512):
-            tok, own = [], []
-            for c, raw in zip(part.column("cls").to_pylist(), part.column("tokens").to_pylist(), strict=True):
+            tok, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for name, band, raw in zip(*(part.column(x).to_pylist() for x in ("cls64", "band", "tokens")), strict=True):
                 t = np.frombuffer(raw, np.uint64)
                 order = np.lexsort((t, shared.value[(t >> np.uint64(42)).astype(np.int64)]))
                 chosen = t[order[: len(t) - least_shared(len(t)) + 1]]
-                tok.append(chosen.view(np.int64))
-                own += [c] * len(chosen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok) if tok else np.zeros(0, np.int64)), pa.array(own, pa.binary())], names=["tok", "cls"])
-
-    return sets.select("cls", "tokens").mapInArrow(run, "tok bigint, cls binary")
-
-
-def merged_counts(lists: list[np.ndarray], small: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """How often each element occurs in sorted lists: a heap merge, or the same counts in one vector step for longer lists."""
-    if sum(map(len, lists)) <= small:
-        ids: list[int] = []
-        counts: list[int] = []
-        for x in heapq.merge(*[x.tolist() for x in lists]):
-            if ids and ids[-1] == x:
-                counts[-1] += 1
-            else:
-                ids.append(x)
-                counts.append(1)
-        return np.array(ids, np.int64), np.array(counts, np.int64)
-    return np.unique(np.concatenate(lists), return_counts=True)
-
-
-def divide_skip(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
-    """Every linked pair once: (i, partners of i), as indexes of ``sets``. With ``side``, only pairs of different sides."""
+                tok += [mixed(chosen + np.uint64(band)), mixed(chosen + np.uint64(band + 1))]
+                own.append(np.full(2 * len(chosen), name, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(own))], names=["tok", "cls64"])
+
+    return sets.select("cls64", "band", "tokens").mapInArrow(run, "tok bigint, cls64 bigint")
+
+
+def merged_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of sorted lists and how often each occurs, by a heap merge."""
+    ids: list[int] = []
+    counts: list[int] = []
+    for x in heapq.merge(*[x.tolist() for x in lists]):
+        if ids and ids[-1] == x:
+            counts[-1] += 1
+        else:
+            ids.append(x)
+            counts.append(1)
+    return np.array(ids, np.int64), np.array(counts, np.int64)
+
+
+class Lists:
+    """Inverted lists over ranked sets, each list in order of rank: one sorted array of (shingle, rank)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        size = np.array([len(s) for s in sets], np.int64)
+        _, ids = np.unique(flat, return_inverse=True)
+        self.count, self.ids = max(1, len(sets)), ids
+        self.ends = np.cumsum(size)
+        self.keys = np.sort(ids * self.count + np.repeat(np.arange(len(sets)), size))
+        self.ranks = self.keys % self.count
+
+    def of(self, r: int) -> np.ndarray:
+        """The shingles of set r."""
+        return self.ids[self.ends[r - 1] if r else 0 : self.ends[r]]
+
+    def between(self, tokens: np.ndarray, after: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of each shingle's list, of ranks over ``after`` and under ``before``."""
+        lo = np.searchsorted(self.keys, tokens * self.count + after, side="right")
+        return lo, np.maximum(np.searchsorted(self.keys, tokens * self.count + before) - lo, 0)
+
+    def entries(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Several lists, one after the other."""
+        return self.ranks[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def held(self, token: int, ranks: np.ndarray) -> np.ndarray:
+        """Which of the sets hold the shingle: a binary search each."""
+        key = token * self.count + ranks
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key
+
+
+def divide_skip(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT, small: int = 400) -> Iterator[tuple[int, np.ndarray]]:
+    """Every linked pair once: (i, partners of i), as indexes of ``sets``. With ``side``, only pairs of different sides.
+
+    Up to ``small`` entries of short lists are merged with a heap, more are counted in one vector step. Of the long lists
+    those much longer than the candidates are probed, shorter ones counted likewise."""
     size = np.array([len(s) for s in sets], np.int64)
     by_size = np.argsort(size, kind="stable")
-    place = np.empty(len(sets), np.int64)
-    place[by_size] = np.arange(len(sets))
     n = size[by_size]
-    flat = np.concatenate([sets[i] for i in by_size]) if len(sets) else np.zeros(0, np.uint64)
-    _, ids = np.unique(flat, return_inverse=True)
-    posting = np.repeat(np.arange(len(sets)), n)[np.argsort(ids, kind="stable")]  # each list in order of size
-    starts = np.concatenate([[0], np.cumsum(np.bincount(ids))]) if len(ids) else np.zeros(1, np.int64)
-    ends = np.cumsum(n)
+    lists = Lists([sets[i] for i in by_size])
     for r in range(len(sets)):
         if not n[r]:
             continue
         last = int(np.searchsorted(n, n[r] * 100 // percent, side="right"))  # sizes beyond can't reach the threshold
         if last <= r + 1:
             continue
-        lists = []
-        for t in ids[ends[r] - n[r] : ends[r]]:
-            own = posting[starts[t] : starts[t + 1]]
-            if own[-1] > r:
-                lists.append(own[np.searchsorted(own, r, side="right") : np.searchsorted(own, last)])
+        tokens = lists.of(r)
+        lo, length = lists.between(tokens, r, last)
         need = -(-percent * 2 * int(n[r]) // (100 + percent))  # partners are at least as large
-        lists = [x for x in lists if len(x)]
-        if len(lists) < need:
+        used = np.flatnonzero(length)
+        if len(used) < need:
             continue
-        lists.sort(key=len)
-        long = min(need - 1, int(need / (MU * np.log2(len(lists[-1]) + 1) + 1)))
-        short = lists[: len(lists) - long]
-        cand, count = merged_counts(short)
+        used = used[np.argsort(length[used], kind="stable")]
+        tokens, lo, length = tokens[used], lo[used], length[used]
+        long = min(need - 1, int(need / (MU * np.log2(length[-1] + 1) + 1)))
+        cut = len(tokens) - long
+        short = lists.entries(lo[:cut], length[:cut])
+        if len(short) <= small:
+            cand, count = merged_counts(np.split(short, np.cumsum(length[: cut - 1])))
+        else:
+            times = np.bincount(short - r, minlength=last - r)
+            cand = np.flatnonzero(times)
+            cand, count = cand + r, times[cand]
         keep = count >= need - long
         cand, count = cand[keep], count[keep]
-        wanted = -(-percent * (n[r] + n[cand]) // (100 + percent))
-        for k, own in enumerate(lists[len(short) :]):
-            alive = count + (long - k) >= wanted
-            if not alive.all():
-                cand, count, wanted = cand[alive], count[alive], wanted[alive]
-            if not len(cand):
-                break
-            at = np.searchsorted(own, cand)
-            count = count + (own[np.minimum(at, len(own) - 1)] == cand)
+        if len(cand):
+            near = cut + int(np.searchsorted(length[cut:], 8 * len(cand), side="right"))
+            if near > cut:
+                count = count + np.bincount(lists.entries(lo[cut:near], length[cut:near]) - r, minlength=last - r)[cand - r]
+            wanted = -(-percent * (n[r] + n[cand]) // (100 + percent))
+            for k in range(near, len(tokens)):
+                alive = count + (len(tokens) - k) >= wanted
+                if not alive.all():
+                    cand, count, wanted = cand[alive], count[alive], wanted[alive]
+                if not len(cand):
+                    break
+                count = count + lists.held(tokens[k], cand)
         cand = cand[100 * count >= percent * (n[r] + n[cand] - count)]
         found = by_size[cand]
         if side is not None:
@@ -304,12 +390,12 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray | None = None, percent:
 
 
 def _family_links(table: pa.Table) -> pa.Table:
-    """Links within a family, or between two of its blocks: per class its links to documents and the local root."""
+    """Links within whole families, or between two blocks of one: per class its links to documents and the local root."""
     cls = table.column("cls").to_pylist()
     table = table.take([k for c, k in {c: k for k, c in enumerate(cls)}.items()])
     cls, rows, block = table.column("cls").to_pylist(), table.column("rows").to_numpy(), table.column("block").to_numpy()
     sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    one = all(table.column(a)[0] == table.column(b)[0] for a, b in ("xy", "ij"))
     parent = list(range(len(cls)))
     links = np.zeros(len(cls), np.int64)
 
@@ -319,7 +405,7 @@ def _family_links(table: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    for a, partners in divide_skip(sets, None if i == j else block):
+    for a, partners in divide_skip(sets, None if one else block):
         links[a] += rows[partners].sum()
         links[partners] += rows[a]
         for b in partners.tolist():
@@ -330,37 +416,67 @@ def _family_links(table: pa.Table) -> pa.Table:
     return pa.table({"cls": pa.array([cls[k] for k in own], pa.binary()), "links": pa.array(links[own], pa.int64()), "root": pa.array([cls[find(k)] for k in own], pa.binary())})
 
 
+def _searched(sized: DataFrame) -> DataFrame:
+    """(cls, links, root) for ``sized(cls, n, band, rows, tokens, family)``.
+
+    Small families are dealt out together. A larger one falls into blocks of a band; a block meets those of its own band
+    and of the two beside it."""
+    whole = sized.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-int(whole) // BLOCK_TOKENS))
+    bands = sized.groupBy("family", "band").agg(F.sum("n").alias("n"))
+    large = bands.groupBy("family").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / BLOCK_TOKENS).cast("int")))).alias("blocks"))
+    large = staged(large.where(F.col("n") > BLOCK_TOKENS).select("family", "blocks"))
+    placed = sized.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "family", "left")
+    kept = ["cls", "rows", "tokens"]
+    none = F.lit(0)
+    small = placed.where("blocks is null").select(F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("g"), none.alias("block"), F.lit(None).cast("long").alias("family"), *[none.alias(c) for c in ("x", "i", "y", "j")], *kept)
+    count = lambda band: F.coalesce(F.element_at("blocks", band), F.lit(0))
+    numbered = placed.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("cls"), count(F.col("band"))).cast("int"))
+
+    def pairs(step: int) -> Column:
+        """The pairs (band, block, band, block) with the blocks of the band ``step`` on, the lower one first."""
+        band = F.col("band") + step
+        others = F.when(count(band) > 0, F.sequence(F.lit(0), count(band) - 1)).otherwise(F.array().cast("array<int>"))
+        one, two = F.array("band", "own"), lambda o: F.array(band, o)
+
+        def pair(o: Column) -> Column:
+            lower, upper = F.least(one, two(o)), F.greatest(one, two(o))
+            return F.struct(lower[0].alias("x"), lower[1].alias("i"), upper[0].alias("y"), upper[1].alias("j"))
+
+        return F.transform(others, pair)
+
+    dealt = numbered.withColumn("to", F.explode(F.concat(pairs(-1), pairs(0), pairs(1))))
+    # 2 ** 24 blocks of a band would be 25 * 10 ** 12 shingles
+    split = dealt.select(F.lit(-1).cast("long").alias("g"), (F.col("band") * (1 << 24) + F.col("own")).alias("block"), "family", "to.x", "to.i", "to.y", "to.j", *kept)
+    return small.unionByName(split).groupBy("g", "family", "x", "i", "y", "j").applyInArrow(_family_links, "cls binary, links bigint, root binary")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links (documents that it links to)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = staged(_document_sets(docs, id_col, text_col))
+    packed = staged(_packed_sets(docs, id_col, text_col, parts))
+    rows = staged(packed.where("cls is not null").select("_id", "n", "seen", "cls"))
     head = F.conv(F.substring(F.hex("cls"), 1, 16), 16, -10).cast("bigint").alias("cls64")
     classes = staged(rows.where("n > 0").groupBy("cls").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("seen").alias("seen"), F.count("*").alias("rows")).withColumn("cls64", head))
-    counts = _shared_counts(docs, text_col, parts).groupBy("cls64").agg(F.sum("shared").alias("shared"))
     alone = F.col("seen") - F.coalesce("shared", F.lit(0))
     may_link = alone <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
-    survivors = staged(classes.join(counts, "cls64", "left").where(may_link).select("cls", "rep", "rows"))
-    sets = staged(_class_sets(docs, survivors, id_col, text_col))
-
-    postings = _postings(sets, _rarity(sets))
-    stars = postings.withColumn("b", F.min("cls").over(Window.partitionBy("tok"))).where("cls <> b")
-    families = connected_components(stars.select(F.col("cls").alias("a"), "b").distinct())
-    sized = sets.join(families.select(F.col("node").alias("cls"), F.col("root").alias("family")), "cls")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
-        {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
-    )
-    found = staged(
-        dealt.select("family", "i", "j", "block", "cls", "rows", "tokens")
-        .groupBy("family", "i", "j")
-        .applyInArrow(_family_links, "cls binary, links bigint, root binary")
-    )
+    survivors = staged(classes.join(_shared_counts(packed, parts), "cls64", "left").where(may_link).select("cls", "rep", "rows"))
+    dropped(packed)
+    sets = staged(_class_sets(docs, survivors, id_col, text_col)).withColumns({"band": size_band(F.col("n")), "cls64": head})
+
+    # families go by 64 bits of a class's digest: classes that agree in them share a family, no more
+    posted = staged(_postings(sets, _rarity(sets)))
+    stars = posted.groupBy("tok").agg(F.min("cls64").alias("b"), F.max("cls64").alias("other")).where("b <> other").drop("other")
+    families = connected_components(posted.join(stars, "tok").where("cls64 <> b").select(F.col("cls64").alias("a"), "b").distinct())
+    dropped(posted)
+    sized = staged(sets.join(families.select(F.col("node").alias("cls64"), F.col("root").alias("family")), "cls64"))
+    found = staged(_searched(sized))
+    dropped(sized)
     linked = found.groupBy("cls").agg(F.sum("links").alias("links"))
     tree = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct())
     named = classes.join(tree.select(F.col("node").alias("cls"), "root"), "cls").join(linked, "cls", "left")
-    named = named.withColumn("component", F.min("rep").over(Window.partitionBy("root")))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root")
     single = classes.join(tree.select(F.col("node").alias("cls")), "cls", "left_anti")
     every = named.select("cls", "rows", F.coalesce("links", F.lit(0)).alias("links"), "component").unionByName(
         single.where("rows > 1").select("cls", "rows", F.lit(0).cast("bigint").alias("links"), F.col("rep").alias("component"))
@@ -379,14 +495,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id; columns as they were.
 
-    Rows that agree in id and text count as one document of which one row stays. A row with a null id can't be named by
-    it and stays."""
-    found = jaccard_components(docs, id_col, text_col)
-    gone = staged(found.where(F.col(id_col).isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lx_id")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[id_col] == gone["__lx_id"], "left_anti")
-    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-        order = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-        kept = kept.withColumn("__lx_n", F.row_number().over(order)).where("__lx_n = 1").drop("__lx_n")
-    return kept
+    Rows are told apart by id and text, so that of several rows with one id only those that are copies go; null ids come
+    last. Of rows that agree in id and text one stays."""
+    key = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i"), F.xxhash64(F.lit(1), F.col(text_col)).alias("g"), F.xxhash64(F.lit(2), F.col(text_col)).alias("h"))
+    found = jaccard_components(docs.select(key.alias("__lx_key"), F.col(text_col).alias("__lx_text")), "__lx_key", "__lx_text")
+    gone = staged(found.where("__lx_key <> component_id").select(F.col("__lx_key").alias("__lx_gone")).distinct())
+    few = gone.count() <= BROADCAST_ROWS
+    tagged = docs.withColumn("__lx_key", key)
+    kept = tagged.join(F.broadcast(gone) if few else gone, F.col("__lx_key").eqNullSafe(F.col("__lx_gone")), "left_anti")
+    if found.groupBy("__lx_key").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("__lx_n", F.row_number().over(Window.partitionBy("__lx_key").orderBy(F.lit(0)))).where("__lx_n = 1")
+    return kept.select(*[docs[c] for c in docs.columns])

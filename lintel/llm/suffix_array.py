@@ -94,11 +94,13 @@ def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out, keys
 
 
-def common_prefixes(order: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
-    """For neighbours in ``order``: whether the ``length`` bytes (a multiple of 8) that start there agree."""
-    same = np.arange(max(0, len(order) - 1))
-    for off in range(0, length, 8):
-        same = same[keys[order[same] + off] == keys[order[same + 1] + off]]
-    out = np.zeros(max(0, len(order) - 1), bool)
-    out[same] = True
+def common_prefixes(order: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
+    """For neighbours in ``order``: how many bytes their common prefix has, counted up to ``most`` (a multiple of 8)."""
+    out = np.full(max(0, len(order) - 1), most, np.int64)
+    same = np.arange(len(out))
+    for off in range(0, most, 8):
+        apart = keys[order[same] + off] ^ keys[order[same + 1] + off]
+        ends = apart != 0
+        out[same[ends]] = off + sum((apart[ends] < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+        same = same[~ends]
     return out

@@ -24,10 +24,10 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import BROADCAST_ROWS, staged
+from lintel.llm.common import BROADCAST_ROWS, dropped, staged
 from lintel.llm.suffix_array import common_prefixes, two_stage
 
 LENGTH, GRAM = 200, 24
@@ -159,7 +159,7 @@ def repeated_windows(spans: list[bytes], counts: list[int]) -> list[np.ndarray]:
     whole = np.arange(len(text)) + LENGTH < (begin + sizes)[owner]  # a window that ends within its span
     order, keys = two_stage(text, LENGTH)
     order = order[whole[order]]
-    same = common_prefixes(order, keys, LENGTH)
+    same = common_prefixes(order, keys, LENGTH) >= LENGTH
     marked = whole & (np.array(counts) > 1)[owner]
     marked[order[:-1][same]] = True
     marked[order[1:][same]] = True
@@ -202,8 +202,9 @@ def _hot_windows(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.binary())], names=["h", "dig", "s", "n", "w"])
 
     windows = spans.mapInArrow(run, "h bigint, dig binary, s bigint, n bigint, w binary")
-    marked = windows.withColumn("all", F.sum("n").over(Window.partitionBy("w"))).where("all > 1")
-    return marked.select("h", "dig", "s", (F.col("s") + LENGTH).alias("e"))
+    windows = staged(windows)
+    often = windows.groupBy("w").agg(F.sum("n").alias("all")).where("all > 1").select("w")
+    return windows.join(often, "w", "left_semi").select("h", "dig", "s", (F.col("s") + LENGTH).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -212,10 +213,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = docs.select(F.col(id_col).alias("_id"), _raw(text_col).alias("_text"))
     rows = staged(raw.select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("sha")))
     rows = rows.withColumn("cls", F.substring(F.unhex("sha"), 1, 16))
-    by_anchor = Window.partitionBy("h")
-    place = F.struct("cls", "lo")
-    runs = _runs(raw.select("_text")).withColumns({"a": F.min(place).over(by_anchor), "b": F.max(place).over(by_anchor)})
-    wanted = staged(runs.where("a <> b").groupBy("cls").agg(F.collect_set("lo").alias("los")))
+    runs = staged(_runs(raw.select("_text")))
+    place = F.xxhash64("cls", "lo")  # grouped minima are combined map-side: an anchor of any number of runs is no hot key
+    often = runs.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
+    wanted = staged(runs.join(often, "h", "left_semi").groupBy("cls").agg(F.collect_set("lo").alias("los")))
+    dropped(runs)
     holders = staged(rows.where(F.col("n_bytes") >= LENGTH).groupBy("cls").agg(F.min("_id").alias("rep")).join(wanted.select("cls"), "cls", "left_semi"))
     ids = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
     named = raw.join(ids, raw["_id"].eqNullSafe(ids["rep"])).where(F.substring(F.unhex(F.sha2("_text", 256)), 1, 16) == F.col("cls"))
