@@ -75,6 +75,8 @@ def contamination(
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_rid"))
     n = prefixes.count()
     blocks = max(1, -(-n // block))
+    if blocks > 1:
+        base = staged(base)  # each block reads the same row numbers
     found = []
     for k in range(blocks):
         part = prefixes.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k) if blocks > 1 else prefixes
@@ -120,11 +122,13 @@ def contamination(
     return per_doc.select(id_col, "n_words", covered.alias("n_hit"), "items", "spans")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without documents that hold any benchmark window; columns as they were. A row with a null
-    id can't be named by it and stays."""
-    hit = contamination(docs, items, id_col, **options).where(F.col(id_col).isNotNull() & (F.col("n_hit") > 0)).select(F.col(id_col).alias("_hit"))
-    hit = staged(hit.distinct())
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without documents that hold any benchmark window; columns as they were. Rows go by their text, so rows with
+    a null or a repeated id are each judged on their own."""
+    key = F.struct(F.xxhash64(F.lit(1), F.col(text_col)).alias("g"), F.xxhash64(F.lit(2), F.col(text_col)).alias("h"))
+    found = contamination(docs.select(key.alias("__lx_key"), F.col(text_col).alias("__lx_text")), items, "__lx_key", "__lx_text", **options)
+    hit = staged(found.where("n_hit > 0").select(F.col("__lx_key").alias("__lx_hit")).distinct())
     if hit.count() <= BROADCAST_ROWS:
         hit = F.broadcast(hit)
-    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+    kept = docs.withColumn("__lx_key", key).join(hit, F.col("__lx_key") == F.col("__lx_hit"), "left_anti")
+    return kept.select(*[docs[c] for c in docs.columns])

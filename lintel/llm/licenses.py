@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from lintel.llm.common import alnum_words
 
 #: The most words a rule may span.
-REACH = 24
+REACH = 32
 #: The keyword prefilter: every rule holds at least one of these words, so a text with none of them has no hit.
 KEYWORDS = sorted(
     "license licence licensed gpl lgpl agpl gfdl mpl epl cddl cpl eupl osl cecill asl bsd 0bsd wtfpl unlicense spdx cc cc0 "
-    "commons psf bsl ofl unencumbered domain reserved confidential copying mit ms".split()
+    "commons psf bsl ofl unencumbered domain reserved confidential copying mit ms "
+    "permission permitted redistribution redistributions redistribute warranty warranties copyright proprietary reproduced creativecommons openssl acknowledgement endorse altered disclaims contributor grants anyone package".split()
 )
 
 
@@ -47,7 +48,9 @@ class Rule:
 def _rule(phrase: str, label: str, priority: int, confidence: float, base: bool = False) -> Rule:
     if not set(re.findall(r"[a-z0-9]+", phrase)) & set(KEYWORDS):
         raise ValueError(f"no keyword leads to the rule {phrase!r}")
-    return Rule(phrase.split(" ")[0], f"^(?:{phrase})(?= |$)", label, priority, confidence, base)
+    if not re.fullmatch(r"[a-z0-9]+", phrase.split(" ")[0]):
+        raise ValueError(f"the first word of {phrase!r} isn't literal")
+    return Rule(phrase.split(" ")[0], f"^(?:{phrase})(?= |\\z)", label, priority, confidence, base)
 
 
 #: Fixed values of the contract: phrase and label.
@@ -116,8 +119,89 @@ _CREATIVE_NAMES = {
 }
 
 
+#: Sentences of notices and grants, from a rare word on; ``(?:\\w+ ){a,b}`` stands for names and wordings that vary.
+_NOTICES = {
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this (?:software|font|data)",
+        "above copyright notice and this permission notice (?:\\w+ ){0,6}shall be included in all copies",
+        "copyright notice and this permission notice appear in all copies",
+    ],
+    "boost": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software"],
+    "isc": [
+        "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify and (?:or )?distribute this software for any purpose without fee is hereby granted",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "redistributions of source code must retain the (?:above )?copyright notice",
+        "redistributions in binary form must reproduce the (?:above )?copyright notice",
+    ],
+    "bsd-3-clause": [
+        "neither the names? of (?:\\w+ ){1,10}nor the names of (?:its|their|any) contributors may be used to endorse or promote",
+        "may not be used to endorse or promote products derived from this software without (?:specific )?prior written permission",
+    ],
+    "bsd-4-clause": ["advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "zlib": [
+        "software is provided as is without any express or implied warranty in no event will the authors be held liable",
+        "permission is granted to anyone to use this software for any purpose including commercial applications",
+        "altered source versions must be plainly marked as such and must not be misrepresented",
+    ],
+    "unlicense": ["free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software"],
+    "public-domain": ["has been (?:released|placed|dedicated) (?:in|in to|into|to) the public domain", "disclaims copyright to this source code"],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance",
+        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
+        "licensed to the apache software foundation asf under one or more contributor license agreements",
+    ],
+    "gpl": [
+        "program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+        "received a copy of the gnu general public license along with",
+    ],
+    "lgpl": [
+        "library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license",
+        "received a copy of the gnu (?:lesser|library) general public license along with",
+    ],
+    "agpl": ["received a copy of the gnu affero general public license along with", "program is free software you can redistribute it (?:\\w+ ){1,8}gnu affero general public license"],
+    "fdl": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"],
+    "mpl-2.0": ["source code form is subject to the terms of the mozilla public license v 2 0", "copy of the mpl was not distributed with this file"],
+    "mpl-1.1": ["contents of this file are subject to the mozilla public license version 1 1"],
+    "epl": ["accompanying materials are made available under the terms of the eclipse public license"],
+    "cddl": ["contents of this file are subject to the terms of the common development and distribution license"],
+    "ofl": ["font software is licensed under the sil open font license version 1 1"],
+    "artistic": ["intent of this document is to state the conditions under which a package may be copied"],
+    "python": ["psf hereby grants licensee a nonexclusive royalty free world ?wide license"],
+    "openssl": ["product includes software developed by the openssl project"],
+    "postgresql": ["permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"],
+    "cc0-1.0": ["person who associated a work with this deed has dedicated the work to the public domain", "creativecommons org publicdomain zero 1 0"],
+    "proprietary": [
+        "part of this (?:publication|document|book|work|software) may be (?:\\w+ ){0,3}reproduced",
+        "proprietary (?:and confidential )?information of",
+        "redistribution (?:\\w+ ){0,4}(?:is|are) (?:strictly )?(?:prohibited|forbidden|not permitted)",
+        "copyright (?:c )?(?:\\d{4} )+(?:\\w+ ){1,8}all rights reserved",
+        "licensed not sold",
+    ],
+    "mit or apache-2.0": [
+        "dual licensed under (?:the )?(?:terms of )?(?:the )?mit (?:license )?(?:and|or) (?:the )?apache",
+        "licensed under either of (?:the )?apache license version 2 0 (?:\\w+ ){0,8}or (?:the )?mit license",
+        "spdx license identifier (?:mit or apache 2 0|apache 2 0 or mit)",
+    ],
+    "gpl-with-classpath-exception": ["spdx license identifier gpl 2 0 (?:only |or later )?with classpath exception", "gpl version 2 (?:\\w+ ){0,3}with the classpath exception"],
+}
+
+
 def _built() -> list[Rule]:
     rules = [_rule(p, label, 100, 0.9, True) for p, label in BASE]
+    # what names several licenses goes before the rules of one
+    rules += [_rule(p, label, 96 if re.search(" or |-with-", label) else 92, 0.97) for label, phrases in _NOTICES.items() for p in phrases]
+    for v in ("1", "2", "2 1", "3"):
+        rules.append(_rule(f"version {v}(?: 0)? of the license or at your option any later version", f"gnu-{v.replace(' ', '.')}-or-later", 70, 0.8))
+        rules.append(_rule(f"license as published by the free software foundation (?:either )?version {v}(?: 0)? of the license", f"gnu-{v.replace(' ', '.')}", 65, 0.8))
+    for short in _CREATIVE:
+        for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
+            label = f"cc-{short.replace(' ', '-')}-{v.replace(' ', '.')}"
+            rules.append(_rule(f"creativecommons org licenses {short} {v}", label, 93, 0.99))
+            rules.append(_rule(f"licensed under (?:a |the )?creative commons {_CREATIVE_NAMES[short]} {v} (?:international|unported|generic)", label, 94, 0.99))
     for label, phrases in _PERMISSIVE.items():
         rules += [_rule(p, label, 50, 0.85 if " " in p else 0.6) for p in phrases]
         if label not in ("proprietary", "public-domain"):

@@ -72,6 +72,10 @@ def test_license_base_places(odd, texts):
         ("SPDX-License-Identifier: MIT", {"mit"}),
         ("CC BY-NC 4.0", {"cc-by-nc-4.0"}),
         ("GNU Lesser General Public License v2.1", {"lgpl-2.1"}),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", {"mit"}),
+        ("(c) Neither the name of the Example Foundation nor the names of its contributors may be used to endorse or promote products", {"bsd-3-clause"}),
+        ("https://creativecommons.org/licenses/by-sa/4.0/", {"cc-by-sa-4.0"}),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit or apache-2.0"}),
         ("no grant at all", set()),
     ],
 )
@@ -80,9 +84,64 @@ def test_license_rules(spark, text, labels):
     assert {h["label"] for h in row["hits"]} == labels
 
 
+def longest(pattern):
+    """The most words that a pattern spans."""
+    wide = re.sub(r"\(\?:\\w\+ \)\{\d+,(\d+)\}", lambda m: "x " * int(m[1]), pattern.replace(r"(?:\d{4} )+", "x x x x "))
+    return len(wide.replace("(?= |\\z)", "").split(" "))
+
+
 def test_license_rules_are_gated_and_bounded():
-    assert len(licenses.RULES) >= 300
-    assert all(len(r.pattern.split(" ")) <= licenses.REACH for r in licenses.RULES)
+    assert len(licenses.RULES) >= 450
+    assert all(longest(r.pattern) <= licenses.REACH for r in licenses.RULES)
+
+
+def test_license_words_end_at_the_text_end(spark):
+    got = licenses.license_scan(spark.createDataFrame([(1, "mit license\u0085"), (2, "mit license\n"), (3, "mit license\u2028")], "doc_id long, text string")).collect()
+    assert [len(r["base_hits"]) for r in got] == [0, 1, 0]
+
+
+COMPILED = [(r, re.compile(r.pattern.replace("\\z", "\\Z"))) for r in licenses.RULES]
+
+
+def license_truth(text):
+    """Every rule at every word, then suppression by its definition."""
+    w = words(text)
+    hits = []
+    if set(w) & set(licenses.KEYWORDS):
+        for k in range(len(w)):
+            ahead = " ".join(w[k : k + licenses.REACH])
+            for r, pattern in COMPILED:
+                if m := pattern.match(ahead):
+                    hits.append((k, k + len(m[0].split(" ")), r.label, r.priority, r.base))
+
+    def beaten(d):
+        own = d[1] - d[0]
+        for o in hits:
+            n = o[1] - o[0]
+            if o[0] <= d[0] and o[1] >= d[1] and o[3] >= d[3] and (n > own or (n == own and (o[3] > d[3] or o[2] < d[2]))):
+                return True
+        return False
+
+    return sorted(h[:3] for h in hits if h[4]), sorted(h[:3] for h in hits if not h[4] and not beaten(h))
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(12)
+    plain = lambda p: re.sub(r"\{[^}]*\}|\\w\+|\(\?:|\(\?= \|\\z\)|[()^?+\\]", "", p).replace("|", " ")
+    pool = [plain(r.pattern) for r in licenses.RULES]
+    rows = []
+    for k in range(150):
+        parts = [rng.choice(pool) if rng.random() < 0.7 else " ".join(rng.choice(pool).split()[: rng.randrange(1, 6)]) for _ in range(rng.randrange(1, 9))]
+        rows.append((k, rng.choice([" ", ", ", " of the ", " 2 0 or later "]).join(parts).upper() if k % 5 == 0 else rng.choice([" ", "\n", " and "]).join(parts)))
+    rows += [(200, None), (201, ""), (202, "mit " * 200 + "license")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labels = set()
+    for k, text in rows:
+        base, own = license_truth(text)
+        assert sorted((h["s"], h["e"], h["label"]) for h in got[k]["base_hits"]) == base, text
+        assert sorted((h["s"], h["e"], h["label"]) for h in got[k]["hits"]) == own, text
+        labels |= {x[2] for x in own}
+    assert len(labels) > 60
 
 
 def test_chat_round_trip(spark):
@@ -186,6 +245,14 @@ def test_mixing_rejects_unknown_targets(spoken_mix):
         mixing.mixed(spoken_mix, spoken_mix.select("doc_id"), {"xx": 1.0})
 
 
+def test_drop_contaminated_goes_by_rows(spark):
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(1, f"so {ten} it is", "x"), (1, "clean", "y"), (None, ten, None), (None, "clean too", None), (None, None, None), (2, ten, "z"), (2, ten, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item string")
+    got = decontam.drop_contaminated(docs, spark.createDataFrame([(7, ten)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_mixing_that_does_not_converge_is_an_error(spoken_mix, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_ROUNDS", 1)
     with pytest.raises(RuntimeError, match="converge"):
