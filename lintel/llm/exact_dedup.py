@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import ascii_lower, staged
+from lintel.llm.common import BROADCAST_ROWS, ascii_lower, staged
 
 #: Counters of the Misra-Gries summary; also the most rows broadcast.
 TRACKED = 4096
@@ -32,7 +32,7 @@ def heavy_digests(rows: DataFrame, tracked: int = TRACKED) -> DataFrame:
     The sketch misses no digest above ``1 / tracked`` of the rows. Its estimates only
     nominate; sizes and winners come from an exact, map-side combined aggregation.
     """
-    sketch = F.expr(f"approx_top_k(hex(_dg), {tracked // 2}, {tracked})")
+    sketch = F.expr(f"approx_top_k(hex(_dg), {tracked}, {tracked})")
     named = rows.agg(sketch.alias("top")).select(F.explode("top").alias("top"))
     named = named.where(F.col("top.count") > 1).select(F.unhex("top.item").alias("_dg"))
     counted = rows.join(F.broadcast(named), "_dg", "left_semi").groupBy("_dg")
@@ -70,12 +70,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = TRACKED) -> DataFrame:
     """``docs`` without its exact copies; the row with the largest id stays. Columns as they were.
 
-    Losing copies of a heavy digest are removed by the broadcast winners before the
-    one shuffle, so no hot group reaches a single task.
+    Digests and ids are grouped, not texts; the rows that lose are anti-joined by digest and id, broadcast where they
+    are few. Of rows that agree in text and id, which such a join can't tell apart, one stays.
     """
     rows = staged(_keyed(docs, id_col, text_col))
-    heavy = staged(heavy_digests(rows, tracked)).select(F.col("_dg").alias("__lx_dg"), F.col("_keep._id").alias("__lx_winner"), F.lit(True).alias("__lx_hot"))
-    tagged = docs.withColumn("__lx_dg", digest(F.col(text_col))).join(F.broadcast(heavy), "__lx_dg", "left")
-    alive = tagged.where(F.col("__lx_hot").isNull() | F.col(id_col).eqNullSafe(F.col("__lx_winner")))
-    order = Window.partitionBy("__lx_dg").orderBy(F.col(id_col).desc_nulls_last())
-    return alive.withColumn("__lx_rank", F.row_number().over(order)).where("__lx_rank = 1").select(*[docs[c] for c in docs.columns])
+    heavy = staged(heavy_digests(rows, tracked))
+    split = rows.join(F.broadcast(heavy), "_dg", "left")
+    rare = split.where("_size is null").groupBy("_dg").agg(F.count("*").alias("_size"), F.max(F.struct("_id", "_rid")).alias("_keep")).where("_size > 1")
+    many = heavy.select("_dg", "_keep").unionByName(rare.select("_dg", "_keep"))
+    losing = staged(rows.join(staged(many), "_dg").where(F.col("_rid") != F.col("_keep._rid")).select("_dg", "_id", (F.col("_id").eqNullSafe(F.col("_keep._id"))).alias("_tie")))
+    gone = staged(losing.where("not _tie").select(F.struct("_dg", "_id").alias("__lx_gone")).distinct())
+    key = F.struct(digest(F.col(text_col)).alias("_dg"), F.col(id_col).alias("_id"))
+    tagged = docs.withColumn("__lx_key", key)
+    kept = tagged.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("__lx_key").eqNullSafe(F.col("__lx_gone")), "left_anti")
+    if losing.where("_tie").limit(1).count():
+        kept = kept.withColumn("__lx_rank", F.row_number().over(Window.partitionBy("__lx_key").orderBy(F.lit(0)))).where("__lx_rank = 1")
+    return kept.select(*[docs[c] for c in docs.columns])

@@ -5,9 +5,10 @@ each language. For every document, expectation-maximisation over its words estim
 proportions of the languages; the set of languages grows, best first, while the
 penalised likelihood (BIC) improves. The prediction is the largest proportion.
 
-Models are counted from a bounded sample of labelled rows: at most ``PER_LANGUAGE`` rows a
-language (lowest id hashes first) of at most ``MAX_TRAIN_CHARS`` characters, at most
-``LANGUAGES`` languages, the most frequent first. Inference takes whole texts of all rows.
+Models are counted where the rows are, from a bounded sample of labelled ones: at most
+``PER_LANGUAGE`` rows of each language (lowest id hashes first) of at most ``MAX_TRAIN_CHARS``
+characters. All languages are learned and tried; over ``LANGUAGES`` of them are an error.
+Inference takes whole texts of all rows.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is
 every text when there is nothing to learn from; ties go to the language first in the
@@ -17,7 +18,8 @@ alphabet; repeated rows are each predicted; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +30,21 @@ from pyspark.sql import types as T
 
 from lintel.llm.common import bernoulli_fold
 
-PER_LANGUAGE, LANGUAGES, MAX_TRAIN_CHARS = 1_500, 64, 40_000
+PER_LANGUAGE, LANGUAGES, MAX_TRAIN_CHARS = 1_500, 500, 40_000
 BUCKETS = 1 << 16
 REMEMBERED = 200_000
-#: Letters only: word characters but digits and the underscore.
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _no_letters() -> str:
+    """The word characters that are no letters (digits of all kinds, fractions, circled numbers), as ranges of a pattern."""
+    odd = [c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()]
+    starts = [c for k, c in enumerate(odd) if not k or odd[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(odd) if k + 1 == len(odd) or odd[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Runs of letters.
+WORD = re.compile(rf"[^\W_{_no_letters()}]+")
 UNDETERMINED = "und"
 
 
@@ -66,38 +78,65 @@ class LanguageModel:
     loglik: np.ndarray  # (BUCKETS + 1, languages); zeros in the last row
 
 
-def fit_counts(texts: list[str], langs: list[str]) -> LanguageModel | None:
-    names = sorted(set(langs))
+def gram_counts(texts: Iterable[str | None]) -> np.ndarray:
+    """How often each bucket's n-grams occur."""
+    seen: dict[str, int] = {}
+    for t in texts:
+        for w in words_of(t):
+            seen[w] = seen.get(w, 0) + 1
+    counts, listed = np.zeros(BUCKETS, np.int64), list(seen)
+    for s in range(0, len(listed), 20_000):
+        part = listed[s : s + 20_000]
+        ids, starts = grams(part)
+        times = np.repeat([seen[w] for w in part], np.diff(np.append(starts, len(ids))))
+        counts += np.bincount(ids.ravel(), np.repeat(times, 4), BUCKETS + 1)[:BUCKETS].astype(np.int64)
+    return counts
+
+
+def model_of(counts: dict[str, np.ndarray]) -> LanguageModel | None:
+    names = sorted(counts)
     if not names:
         return None
-    counts = np.zeros((BUCKETS, len(names)))
-    for k, name in enumerate(names):
-        seen: dict[str, int] = {}
-        for t, own in zip(texts, langs, strict=True):
-            if own == name:
-                for w in words_of(t):
-                    seen[w] = seen.get(w, 0) + 1
-        listed = list(seen)
-        for s in range(0, len(listed), 20_000):
-            part = listed[s : s + 20_000]
-            ids, starts = grams(part)
-            times = np.repeat([seen[w] for w in part], np.diff(np.append(starts, len(ids))))
-            counts[:, k] += np.bincount(ids.ravel(), np.repeat(times, 4), BUCKETS + 1)[:BUCKETS]
-    smooth = counts + 0.5 * (counts.sum(axis=1, keepdims=True) / len(names) + 1) / np.maximum(counts.sum(axis=0), 1)
+    table = np.stack([counts[x] for x in names], axis=1).astype(float)
+    smooth = table + 0.5 * (table.sum(axis=1, keepdims=True) / len(names) + 1) / np.maximum(table.sum(axis=0), 1)
     return LanguageModel(names, np.vstack([np.log(smooth / smooth.sum(axis=0)), np.zeros(len(names))]))
 
 
 def fit(docs: DataFrame, fold: int = 0, parts: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+    """The driver gets one row of BUCKETS counts for each language, and no text."""
     usable = docs.where(F.col(lang_col).isNotNull() & (bernoulli_fold(F.col(id_col), parts) != fold) & (F.length(text_col) <= MAX_TRAIN_CHARS))
     rows = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"))
-    common = [r["_lang"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()]
-    if not common:
+    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang_col} has over {LANGUAGES} values")
+    if not sizes:
         return None
+    # twice the share that is wanted passes by hash alone, map-side; only those rows are ranked
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 2 * PER_LANGUAGE / n))])
+    likely = rows.where(F.col("_h").cast("double") <= (F.element_at(share, F.col("_lang")) * 2 - 1) * float(1 << 63))
     order = Window.partitionBy("_lang").orderBy("_h", "_id")
-    chosen = rows.where(F.col("_lang").isin(common)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LANGUAGE).select("_id")
+    chosen = likely.dropDuplicates(["_lang", "_id"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LANGUAGE).select("_id", "_lang")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            by: dict[str, list[str | None]] = {}
+            for t, name in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist(), strict=True):
+                by.setdefault(name, []).append(t)
+            for name, texts in by.items():
+                total[name] = total.get(name, 0) + gram_counts(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["_lang", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"_lang": table.column("_lang").slice(0, 1), "counts": pa.array([whole.tobytes()], pa.binary())})
+
     texts = usable.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    got = texts.join(F.broadcast(chosen.distinct()), "_id").select("_text", "_lang").collect()  # at most PER_LANGUAGE * LANGUAGES rows
-    return fit_counts([r["_text"] for r in got], [r["_lang"] for r in got])
+    # at most PER_LANGUAGE * LANGUAGES ids; of rows that repeat one, the first in order of the text counts
+    picked = texts.join(F.broadcast(chosen), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    kind = "_lang string, counts binary"
+    got = picked.select("_text", "_lang").mapInArrow(count, kind).groupBy("_lang").applyInArrow(add, kind).collect()
+    return model_of({r["_lang"]: np.frombuffer(r["counts"], np.int64) for r in got})
 
 
 def mixture(ll: np.ndarray, languages: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -129,7 +168,7 @@ def infer(ll: np.ndarray) -> np.ndarray:
     order = np.argsort(-np.bincount(ll.argmax(axis=1), minlength=m), kind="stable")
     chosen, pi, gain = [best], np.ones(1), float(totals[best])
     penalty = 0.5 * np.log(n) + 2
-    for k in [int(x) for x in order if x != best][:8]:
+    for k in [int(x) for x in order if x != best]:
         tried = np.array([*chosen, k])
         p, loglik = mixture(ll, tried)
         if loglik - gain <= penalty:

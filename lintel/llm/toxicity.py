@@ -4,11 +4,13 @@ A word is the sum of the embeddings of its hash, its first four and its first si
 characters. Filters of widths 1, 2 and 3 run over the whole text; each keeps its
 maximum, and a logistic layer scores the maxima. Training draws a bounded sample of
 labelled rows (``MAX_POSITIVE`` + ``MAX_NEGATIVE``, lowest hashes of the id first, texts
-of at most ``MAX_TRAIN_CHARS`` characters) to the driver; everything else runs on all rows.
+of at most ``MAX_TRAIN_CHARS`` characters, ``MAX_TRAIN_TOTAL`` together) to the driver;
+everything else runs on all rows.
 
 A validation fifth of the sample sets the score's scale, so that the best cut lies at
-0.3, and a threshold for each language with enough positives. Language decides only
-which threshold applies; it never enters a score.
+0.3, and a threshold for each language: its own best cut, drawn towards the common one the
+more, the fewer positives it has (``PULL`` of them count as much as the common cut). Language
+decides only which threshold applies; it never enters a score.
 
 Defined results: null and empty texts get the score of an empty text; any length is
 scored whole; repeated rows are each scored; rows without a label or with a label other
@@ -25,15 +27,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintel.llm.common import bernoulli_fold
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_TRAIN_CHARS = 3_000, 5_000, 60_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_TRAIN_CHARS, MAX_TRAIN_TOTAL = 3_000, 5_000, 60_000, 80_000_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 12, (1, 2, 3)
-CUT = 0.3
+CUT, PULL = 0.3, 20
 #: Distinct words that a worker remembers.
 REMEMBERED = 150_000
 WORD = re.compile(r"[^\W_]+")
@@ -188,9 +190,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int
     few = [usable.where(F.col("_y") == y).orderBy(mixed, "_id").limit(k) for y, k in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     chosen = few[0].unionByName(few[1])  # at most MAX_POSITIVE + MAX_NEGATIVE rows
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.where(F.length(text_col) <= MAX_TRAIN_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).alias("__lx_text"), lang.alias("_lang"))
-    found = texts.join(F.broadcast(chosen), "_id").select("_id", "__lx_text", "_lang", "_y").collect()
-    return sorted(found, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["__lx_text"]))[: 2 * (MAX_POSITIVE + MAX_NEGATIVE)]
+    texts = docs.where(F.length(text_col) <= MAX_TRAIN_CHARS).select(F.col(id_col).alias("_id"), F.struct(F.col(text_col).alias("t"), lang.alias("l")).alias("x"))
+    once = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("x").alias("x"))  # of rows that repeat an id, one
+    upto = F.sum(F.length("x.t")).over(Window.orderBy(mixed, "_id").rowsBetween(Window.unboundedPreceding, 0))  # over the chosen rows, not the table
+    found = once.withColumn("upto", upto).where(F.col("upto") <= MAX_TRAIN_TOTAL).select("_id", F.col("x.t").alias("__lx_text"), F.col("x.l").alias("_lang"), "_y").collect()
+    return sorted(found, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["__lx_text"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, **columns) -> ToxicityModel | None:
@@ -215,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 2, parts: int = 4, **col
     langs = np.array([r["_lang"] or "" for r, h in zip(rows, held, strict=True) if h])
     for name in sorted(set(langs.tolist())):
         own = langs == name
-        if y[held][own].sum() >= 20:
-            inner.thresholds[name] = round(best_cut(scores[own], y[held][own]), 4)
+        k = int(y[held][own].sum())
+        inner.thresholds[name] = round(float((k * best_cut(scores[own], y[held][own]) + PULL * CUT) / (k + PULL)), 4)
     return inner
 
 
