@@ -111,7 +111,7 @@ def _cell(n: Node) -> str:
 
 
 def _table(n: Node) -> str:
-    rows = [r for r in n.find_all("tr") if _owner(r) is n]
+    rows = rows_of(n)
     if not rows:
         return _children(n)
     cells = [[_cell(c) for c in r.kids("td", "th")] for r in rows]
@@ -212,8 +212,35 @@ def to_markdown(html: str | None, base: str | None = None) -> str:
     return re.sub(r"(?: {2,}\n){2,}", "\n\n", out)
 
 
+def shown_text(root: Node) -> str:
+    """The words that a page shows; the tree stays as it is."""
+    out, todo = [], root.children[::-1]
+    while todo:
+        n = todo.pop()
+        if n.tag is None:
+            out.append(n.text)
+        elif n.tag not in _SKIPPED:
+            todo += n.children[::-1]
+    return " ".join("".join(out).split())
+
+
 def to_text(html: str | None) -> str:
-    root = parse(html)
-    for n in root.find_all(*_SKIPPED):
-        n.remove()
-    return " ".join(root.content().split())
+    return shown_text(parse(html))
+
+
+def rows_of(table: Node) -> list[Node]:
+    return [r for r in table.find_all("tr") if _owner(r) is table]
+
+
+def table_markdown(table: Node) -> str:
+    """A table's Markdown; the tree stays as it is."""
+    own = copied(table)
+    _collapse(own)
+    return _render(own).strip()
+
+
+def copied(n: Node) -> Node:
+    out = Node(n.tag, dict(n.attrs), n.text)
+    for c in n.children:
+        out.append(copied(c))
+    return out

@@ -89,42 +89,44 @@ def drop_empty_links(root: Node) -> None:
             n.remove()
 
 
-def keep_heading_numbers(root: Node) -> None:
-    """``<ol><li><h4>13. x`` moves its number to the list; headings numbered 13.1 become bold paragraphs."""
-    for li in [n for n in root.find_all("li") if n.parent is not None and n.parent.tag == "ol"]:
-        kids = li.kids()
-        if len(kids) != 1 or kids[0].tag not in HEADINGS or len(li.parent.kids("li")) != 1:
-            continue
-        m = re.match(r"\s*(\d+)\.\s+", kids[0].content())
-        if m:
-            li.parent.attrs.setdefault("start", m[1])
-            left = m.end()
-            for t in [x for x in kids[0].walk() if x.tag is None]:
-                cut = min(left, len(t.text))
-                t.text, left = t.text[cut:], left - cut
-    for h in root.find_all(*HEADINGS):
-        if re.match(r"\s*\d+\.\d+", h.content()):
-            p = Node("p")
-            holder = p if h.kids() and h.kids()[0].tag == "strong" else p.append(Node("strong"))
-            for c in list(h.children):
-                holder.append(c)
-            h.replace_with(p)
-
-
-def continue_numbering(root: Node) -> None:
-    """Top-level ordered lists count on from each other; an explicit start begins anew."""
-    following = 1
-    for ol in root.find_all("ol"):
-        up = ol.parent
-        while up is not None and up.tag not in ("li", "ol", "ul"):
-            up = up.parent
-        if up is not None:
-            continue
-        if re.fullmatch(r"-?\d+", ol.attrs.get("start", "")):
-            following = int(ol.attrs["start"])
-        elif following > 1:
-            ol.attrs["start"] = str(following)
-        following += len(ol.kids("li"))
+def number_lists(root: Node) -> None:
+    """One pass in document order. An ordered list whose one item is only a numbered heading takes that number; a heading
+    numbered in two or more parts is a bold paragraph; an outermost ordered list without a start counts on from the last."""
+    following, inside = 1, set()
+    for n in root.elements():
+        if n.parent is not None and (id(n.parent) in inside or n.parent.tag in ("li", "ol", "ul")):
+            inside.add(id(n))  # below a list
+        if n.tag == "ol":
+            if (number := _heading_number(n)) is not None:
+                n.attrs.setdefault("start", number)
+            if id(n) not in inside:
+                if re.fullmatch(r"-?\d+", n.attrs.get("start", "")):
+                    following = int(n.attrs["start"])
+                elif following > 1:
+                    n.attrs["start"] = str(following)
+                following += len(n.kids("li"))
+        elif n.tag in HEADINGS and re.match(r"\s*\d+\.\d+", n.content()):
+            bold = n.kids()[:1] and n.kids()[0].tag == "strong"
+            made, holder = Node("p"), Node("strong")
+            for c in list(n.children):
+                (made if bold else holder).append(c)
+            if not bold:
+                made.append(holder)
+            n.replace_with(made)
+
+
+def _heading_number(ol: Node) -> str | None:
+    """The number that a list's only heading begins with; it leaves the heading."""
+    items = ol.kids("li")
+    inner = items[0].kids() if len(items) == 1 else []
+    found = re.match(r"\s*(\d+)\.\s+", inner[0].content()) if len(inner) == 1 and inner[0].tag in HEADINGS else None
+    if found is None:
+        return None
+    spare = found.end()
+    for piece in inner[0].walk():
+        if piece.tag is None and spare:
+            piece.text, spare = piece.text[spare:], max(0, spare - len(piece.text))
+    return found[1]
 
 
 def semantic_tables(root: Node) -> None:
@@ -200,9 +202,23 @@ def unix_line_ends(root: Node) -> None:
                 t.text = t.text.replace("\r\n", "\n")
 
 
-def prepared(html: str, base: str | None = None, content: str | None = None, body: str | None = None, enhanced: bool = False) -> Node:
-    """A parsed page with all rewrites done."""
-    root = parse(absolutise(html, base) if base else html)
+def absolutise_tree(root: Node, base: str | None) -> None:
+    """URLs in attributes made absolute."""
+    if not base or not re.match(r"(?i)https?://[^/]", base):
+        return
+    held: dict[str, list[str]] = {}
+    for tag, attr in URL_ATTRIBUTES:
+        held.setdefault(tag, []).append(attr)
+    for n in root.elements():
+        for attr in held.get(n.tag, ()):
+            if attr in n.attrs:
+                n.attrs[attr] = resolved(n.attrs[attr], base)
+
+
+def rewritten(root: Node, html: str, base: str | None = None, content: str | None = None, body: str | None = None, enhanced: bool = False) -> Node:
+    """A parsed page with all rewrites done, in place. ``html`` is its text, which tells what there is to rewrite."""
+    if base:
+        absolutise_tree(root, base)
     if content or body:
         root = scoped(root, content, body)
     # a step that has nothing to work on needs no walk
@@ -211,7 +227,7 @@ def prepared(html: str, base: str | None = None, content: str | None = None, bod
         reorder_landmarks(root)
     strip_active(root)
     headed = not tags.isdisjoint(HEADINGS)
-    steps = [(drop_empty_headings, headed), (keep_heading_numbers, headed), (continue_numbering, "ol" in tags), (drop_empty_links, "a" in tags), (semantic_tables, "table" in html)]
+    steps = [(drop_empty_headings, headed), (number_lists, "ol" in tags or headed), (drop_empty_links, "a" in tags), (semantic_tables, "table" in html)]
     if enhanced:
         shown = any(x in html for x in ("formula", "katex", "data-tex", "data-latex", "<math", "mjx-"))
         steps += [(replace_formulas, shown), (correct_code_language, "matlab" in html), (unix_line_ends, "\r" in html)]
@@ -221,4 +237,24 @@ def prepared(html: str, base: str | None = None, content: str | None = None, bod
     return root
 
 
-__all__ = ["absolutise", "formula_of", "prepared", "pretty", "scoped", "serialize"]
+def prepared(html: str, base: str | None = None, content: str | None = None, body: str | None = None, enhanced: bool = False) -> Node:
+    return rewritten(parse(html), html, base, content, body, enhanced)
+
+
+#: Elements that are removed, and what the class of an element fixed over a page says.
+OVERLAYS, OVERLAY_CLASS = (".fc-consent-root", ".fc-dialog-overlay"), re.compile(r"popup|modal|overlay|banner|cookie|notification|consent|fc-", re.I)
+
+
+def without_overlays(html: str) -> str:
+    """The page without known overlays, and without elements that its own style fixes over the page and whose class says so."""
+    root = parse(html)
+    for selector in OVERLAYS:
+        for n in select(root, selector):
+            n.remove()
+    for n in root.elements():
+        if re.search(r"position\s*:\s*fixed", n.attrs.get("style", ""), re.I) and OVERLAY_CLASS.search(n.attrs.get("class", "")):
+            n.remove()
+    return serialize(root)
+
+
+__all__ = ["absolutise", "formula_of", "prepared", "pretty", "rewritten", "scoped", "serialize", "without_overlays"]

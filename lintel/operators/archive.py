@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -10,7 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.html.tree import Node, parse
+from lintel.functions.urls import ensure_absolute, host, resolved
+from lintel.html import markdown as md
+from lintel.html.rewrite import absolutise, absolutise_tree, pretty
+from lintel.html.tree import Node, parse, serialize
+from lintel.operators.images import embedded, extract_embedded
 
 #: Zip members carry this time, so that equal entries give equal bytes.
 WHEN = (1980, 1, 1, 0, 0, 0)
@@ -41,6 +46,93 @@ def page_entries(pages: DataFrame, key: str, markdown: str = "markdown", html: s
     return rows.unionByName(images.select(key, F.concat(F.lit("images/"), F.col("name")).alias("path"), "bytes")) if images is not None else rows
 
 
+PLAN = "html string, markdown string, images array<struct<url:string,path:string>>, styles array<struct<url:string,path:string>>"
+#: Extensions that a hint may name, and that an address may end in.
+HINTS, ENDINGS = ("jpg", "jpeg", "png", "gif", "webp", "svg"), {".jpg": "jpg", ".jpeg": "jpg", ".gif": "gif", ".webp": "webp", ".svg": "svg"}
+
+
+def planned(html: str | None, url: str, as_html: bool, local: bool) -> dict:
+    """A page's document and what its archive is to hold besides: images in order of their first occurrence, one path for each
+    address, and (of an HTML document) its stylesheets."""
+    out: dict = {"html": None, "markdown": None, "images": [], "styles": []}
+    if html is None:
+        return out
+    root = parse(html)
+    paths: dict[str, str] = {}
+    hints: dict[str, str] = {}
+    seen = []
+    for n in root.find_all("img"):
+        src = n.attrs.get("src", "")
+        if src and not src.startswith(("data:", "blob:")):
+            at = resolved(src, url)
+            seen.append((n, at))
+            hint = n.attrs.get("data-web-capture-extension", "").lower().removeprefix(".")
+            if hint in HINTS:
+                hints.setdefault(at, hint)
+    if local:
+        for _, at in seen:
+            if at not in paths:
+                ending = next((x for e, x in ENDINGS.items() if re.split("[?#]", at)[0].lower().endswith(e)), "png")
+                paths[at] = f"images/image-{len(paths) + 1}.{hints.get(at, ending)}"
+    out["images"] = [{"url": k, "path": v} for k, v in paths.items()]
+    if not as_html:
+        text = md.to_markdown(html, url)
+        for k in sorted(paths, key=len, reverse=True):  # an address may begin another one
+            text = text.replace(k, paths[k])
+        out["markdown"], out["html"] = text, pretty(absolutise(html, url))
+        return out
+    absolutise_tree(root, url)
+    for n in root.find_all("script", "noscript"):
+        n.remove()
+    for n, at in seen:
+        n.attrs["src"] = paths.get(at, n.attrs["src"])
+    if local:
+        for n in root.find_all("link"):
+            href = n.attrs.get("href", "")
+            if n.attrs.get("rel") == "stylesheet" and href and not href.startswith("data:"):
+                path = f"css/style-{len(out['styles']) + 1}.css"
+                out["styles"].append({"url": href, "path": path})
+                n.attrs["href"] = path
+    out["html"] = pretty(serialize(root))
+    return out
+
+
+def plan(pages: DataFrame, html_col: str = "html", url_col: str = "url", document: str = "markdown", local_images: bool = True, keep_links: bool = False) -> DataFrame:
+    """``pages`` with a struct ``plan``; ``document`` is markdown or html. Original links are kept by keeping images remote."""
+
+    @F.pandas_udf(PLAN)
+    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        rows = [planned(h, u, document == "html", local_images and not keep_links) for h, u in zip(html, url, strict=True)]
+        return pd.DataFrame(rows, columns=["html", "markdown", "images", "styles"])
+
+    return pages.withColumn("plan", run(F.col(html_col), ensure_absolute(F.col(url_col))))
+
+
+def archive_entries(pages: DataFrame, key: str, receipts: DataFrame, document: str = "markdown", embed_images: bool = False, keep_links: bool = False, **options) -> DataFrame:
+    """(key, path, bytes): a page's documents, and of the images and stylesheets of its plan those that receipts have.
+
+    Base64 images of a Markdown document become files, unless images are embedded or links kept."""
+    rows = plan(pages, document=document, keep_links=keep_links, **options)
+    texts = rows.select(key, F.lit("document.html").alias("path"), F.col("plan.html").alias("text"))
+    parts = []
+    if document != "html":
+        made = rows.select(key, F.col("plan.markdown").alias("markdown"))
+        if not (embed_images or keep_links):
+            parts.append(embedded(made, key).select(key, F.concat(F.lit("images/"), F.col("name")).alias("path"), "bytes").distinct())
+            made = made.withColumn("markdown", extract_embedded(F.col("markdown")))
+        texts = texts.unionByName(made.select(key, F.lit("document.md").alias("path"), F.col("markdown").alias("text")))
+    wanted = rows.select(key, F.explode(F.concat("plan.images", "plan.styles")).alias("x")).select(key, "x.url", "x.path")
+    got = receipts.where("body is not null and coalesce(status, 200) < 400").select("url", F.col("body").alias("bytes"))
+    out = texts.where("text is not null").select(key, "path", F.col("text").cast("binary").alias("bytes")).unionByName(wanted.join(got, "url").select(key, "path", "bytes"))
+    for x in parts:
+        out = out.unionByName(x)
+    return out
+
+
+def archive_name(url: Column) -> Column:
+    return F.concat(F.replace(host(url), F.lit("."), F.lit("-")), F.lit("-archive.zip"))
+
+
 def paste_entries(pastes: DataFrame, key: str, least: int = 1_500) -> DataFrame:
     """Long text pastes as an index, the page and the raw text; shorter ones have no archive."""
     long = pastes.where(F.size(F.split("raw", "\n")) >= least)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from dataclasses import dataclass, fields
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintel.functions.urls import bare_host
 
@@ -50,3 +56,95 @@ def errors(articles: DataFrame) -> DataFrame:
 def retry_delays(retries: Column, base_ms: Column, most_ms: int = 30_000) -> Column:
     """Delays before each retry: doubling, up to a bound."""
     return F.when(retries > 0, F.transform(F.sequence(F.lit(0), retries - 1), lambda k: F.least(base_ms * F.pow(F.lit(2.0), k), F.lit(float(most_ms))).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+# ---- options ---------------------------------------------------------------------------------
+
+#: What an animation's options are where they aren't given.
+ANIMATION = {"maxSize": 1024, "interval": 0, "minFrames": 120, "loopTimeout": 60, "similarity": 0.99, "captureMode": "screenshot"}
+
+
+def animation_options(requests: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """``requests`` with ``error`` for a format that isn't known, and each option as a number, or its default where it is none or 0."""
+    given = {**ANIMATION, **(defaults or {})}
+    form = F.lower(F.coalesce(F.nullif(F.col("format"), F.lit("")), F.lit("gif"))) if "format" in requests.columns else F.lit("gif")
+    error = F.when(~form.isin("gif", "png-sequence"), F.lit('Invalid `format`: must be "gif" or "png-sequence"'))
+
+    def option(name: str, value: object) -> Column:
+        if name not in requests.columns:
+            return F.lit(value)
+        text = F.col(name).cast("string")
+        if isinstance(value, str):
+            return F.coalesce(F.nullif(text, F.lit("")), F.lit(value))
+        whole = isinstance(value, int)
+        number = F.regexp_extract(text, r"^\s*([+-]?\d+)" if whole else r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+        read = F.nullif(number, F.lit("")).cast("long" if whole else "double")
+        return F.coalesce(F.nullif(read, F.lit(0).cast("long" if whole else "double")), F.lit(value))
+
+    keyframes = F.coalesce(F.col("extractKeyframes").cast("string") == "true", F.lit(False)) if "extractKeyframes" in requests.columns else F.lit(False)
+    return requests.withColumns({"error": error, "format": form, **{k: option(k, v) for k, v in given.items()}, "extractKeyframes": keyframes})
+
+
+def snake_keys(value: object) -> object:
+    """Keys of open JSON in snake case, at every depth."""
+    if isinstance(value, list):
+        return [snake_keys(x) for x in value]
+    if isinstance(value, dict):
+        return {re.sub(r"[A-Z]", lambda m: "_" + m[0].lower(), k): snake_keys(v) for k, v in value.items()}
+    return value
+
+
+def snake_json(c: Column) -> Column:
+    """JSON text with its keys in snake case; what isn't JSON is null."""
+
+    def convert(s: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            try:
+                return json.dumps(snake_keys(json.loads(x)), ensure_ascii=False, separators=(",", ":"))
+            except (TypeError, ValueError):
+                return None
+
+        return s.map(one)
+
+    return F.pandas_udf(convert, "string")(c)
+
+
+def snake_columns(df: DataFrame) -> DataFrame:
+    """Top-level and nested fields of a table in snake case: a cast, nothing is computed."""
+
+    def renamed(t: T.DataType) -> T.DataType:
+        if isinstance(t, T.StructType):
+            return T.StructType([T.StructField(snake(f.name), renamed(f.dataType), f.nullable) for f in t.fields])
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(renamed(t.elementType), t.containsNull)
+        if isinstance(t, T.MapType):
+            return T.MapType(t.keyType, renamed(t.valueType), t.valueContainsNull)
+        return t
+
+    snake = lambda name: re.sub(r"[A-Z]", lambda m: "_" + m[0].lower(), name)
+    return df.select(*[F.col(f"`{f.name}`").cast(renamed(f.dataType)).alias(snake(f.name)) for f in df.schema.fields])
+
+
+@dataclass(frozen=True)
+class EngineOptions:
+    """What a capture is asked for; ``from_env`` reads what isn't given from variables named after the fields."""
+
+    engine: str = "puppeteer"
+    format: str = "markdown"
+    output: str | None = None
+    data_dir: str = "./data"
+    embed_images: bool = False
+    extract_images: bool = True
+    keep_original_links: bool = False
+    local_images: bool = True
+    document_format: str = "markdown"
+    api_token: str | None = None
+
+    @classmethod
+    def from_env(cls, env: dict[str, str], prefix: str = "LINTEL_", **given) -> EngineOptions:
+        read = {}
+        for f in fields(cls):
+            raw = env.get(prefix + f.name.upper())
+            if raw is not None and given.get(f.name) is None:
+                read[f.name] = raw.lower() in ("1", "true", "yes") if f.type == "bool" else raw
+        return cls(**{**read, **{k: v for k, v in given.items() if v is not None}})

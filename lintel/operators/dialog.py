@@ -33,27 +33,41 @@ def stream_chunks(html: str) -> list[str]:
 
 
 def resolve_table(table: list) -> object:
-    """The object that the table's first entry stands for. Negative places are null; ``_n`` names the key at place n; cycles end in null."""
-    done: dict[int, object] = {}
+    """The object that the table's first entry stands for. Negative places are null; ``_n`` names the key at place n; a place
+    that is met inside of itself is null there. What a place stands for so depends on the places around it: it is remembered
+    with the places below it, and used again only where none of them is around."""
+    done: dict[int, tuple[object, frozenset[int]]] = {}
 
-    def at(place: object, above: frozenset[int]) -> object:
+    def at(place: object, around: frozenset[int]) -> tuple[object, frozenset[int], bool]:
+        """The value, the places in it, and whether one of those around cut it short."""
         if isinstance(place, bool) or not isinstance(place, int):
-            return place
-        if place < 0 or place >= len(table) or place in above:
-            return None
-        if place in done:
-            return done[place]
-        value, here = table[place], above | {place}
+            return place, frozenset(), False
+        if place < 0 or place >= len(table):
+            return None, frozenset(), False
+        if place in around:
+            return None, frozenset(), True
+        if place in done and done[place][1].isdisjoint(around):
+            return (*done[place], False)
+        value, here, below, cut = table[place], around | {place}, {place}, False
+
+        def inner(x: object) -> object:
+            nonlocal cut
+            got, places, short = at(x, here)
+            below.update(places)
+            cut = cut or (short and x != place)
+            return got
+
         if isinstance(value, list):
-            made: object = [at(x, here) for x in value]
+            made: object = [inner(x) for x in value]
         elif isinstance(value, dict):
-            made = {(str(at(int(k[1:]), here)) if re.fullmatch(r"_\d+", k) else k): at(v, here) for k, v in value.items()}
+            made = {(str(inner(int(k[1:]))) if re.fullmatch(r"_\d+", k) else k): inner(v) for k, v in value.items()}
         else:
             made = value
-        done[place] = made
-        return made
+        if not cut:
+            done[place] = made, frozenset(below)
+        return made, frozenset(below), cut
 
-    return at(0, frozenset())
+    return at(0, frozenset())[0]
 
 
 def holder_of(value: object, key: str) -> dict | None:

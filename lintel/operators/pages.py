@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lintel.functions.text import SPACE, postprocess
 from lintel.functions.urls import resolved
 from lintel.html import markdown as md
-from lintel.html.rewrite import absolutise, formula_of, prepared, pretty
+from lintel.html.rewrite import absolutise, formula_of, pretty, rewritten, without_overlays
 from lintel.html.tree import Node, parse, select
 
 NAMED = "array<struct<name:string,url:string>>"
@@ -31,10 +31,6 @@ TEXT_FIELDS = {
 }
 
 
-#: A page with none of these in its text has no metadata.
-SIGNS = ("tm-", "datetime", "keywords", "ld+json", "bookmarks-button")
-
-
 def metadata_of(root: Node) -> dict:
     """Article metadata by selector; absent fields are null."""
     out: dict = dict.fromkeys(x.split()[0] for x in METADATA.split(", ") if not x.startswith(("url",)))
@@ -97,17 +93,16 @@ PARSED = (
     "title string, markdown string, text string, headings array<struct<level:int,text:string>>, links array<struct<href:string,url:string,text:string>>, "
     "images array<struct<src:string,url:string,alt:string>>, meta_tags array<struct<name:string,content:string>>, stylesheets array<string>, "
     "figures array<struct<figure_num:int,src:string,alt:string,caption:string,sequential_index:int>>, formulas array<struct<kind:string,latex:string>>, "
-    f"tables array<struct<n_rows:int,n_columns:int,markdown:string>>, json_ld array<string>, metadata struct<{re.sub(r'(\w+) (\w+(?:<.*?>+)?)(?=,|$)', r'\1:\2', METADATA)}>"
+    f"tables array<struct<n_rows:int,n_columns:int,cells:array<array<string>>,markdown:string>>, json_ld array<string>, warnings array<string>, metadata struct<{re.sub(r'(\w+) (\w+(?:<.*?>+)?)(?=,|$)', r'\1:\2', METADATA)}>"
 )
-FIELDS = ("title", "markdown", "text", "headings", "links", "images", "meta_tags", "stylesheets", "figures", "formulas", "tables", "json_ld", "metadata")
+FIELDS = ("title", "markdown", "text", "headings", "links", "images", "meta_tags", "stylesheets", "figures", "formulas", "tables", "json_ld", "warnings", "metadata")
 
 
 def parsed_page(html: str | None, url: str | None, want: frozenset[str], content: str | None = None, body: str | None = None) -> dict:
     out: dict = dict.fromkeys(FIELDS)
     if html is None:
         return out
-    described = "metadata" in want and any(s in html for s in SIGNS)
-    root = parse(html) if described or want - {"markdown", "text", "metadata"} else Node("#root")
+    root = parse(html)
     if "title" in want:
         n = root.first("title")
         out["title"] = n.content().strip() if n is not None else None
@@ -125,23 +120,42 @@ def parsed_page(html: str | None, url: str | None, want: frozenset[str], content
         out["figures"] = figures_of(root, url)
     if "formulas" in want:
         out["formulas"] = [{"kind": n.tag, "latex": tex} for n in root.elements() if (tex := formula_of(n))]
-    if "tables" in want:
-        out["tables"] = []
-        for n in root.find_all("table"):
-            rows = n.find_all("tr")
-            out["tables"].append({"n_rows": len(rows), "n_columns": max((len(r.kids("td", "th")) for r in rows), default=0), "markdown": ""})
+    if "warnings" in want:
+        out["warnings"] = warnings_of(html, root)
     if "json_ld" in want:
         out["json_ld"] = [n.content() for n in root.find_all("script") if n.attrs.get("type") == "application/ld+json"]
     if "metadata" in want:
         out["metadata"] = metadata_of(root)
     if "text" in want:
-        out["text"] = md.to_text(html)
-    if "markdown" in want:
-        made = md.render(prepared(html, url, content, body, enhanced=True)).replace("\u00a0", " ")
+        out["text"] = md.shown_text(root)
+    if "tables" in want:
+        out["tables"] = [table_of(n) for n in root.find_all("table")]
+    if "markdown" in want:  # last: its rewrites change the tree
+        made = md.render(rewritten(root, html, url, content, body, enhanced=True)).replace("\u00a0", " ")
         out["markdown"] = re.sub(r"(?: {2,}\n){2,}", "\n\n", made)
     return out
 
 
+def table_of(n: Node) -> dict:
+    """Size, cells and Markdown of a table; the tree stays as it is."""
+    rows = [[" ".join(c.content().split()) for c in r.kids("td", "th")] for r in md.rows_of(n)]
+    return {"n_rows": len(rows), "n_columns": max(map(len, rows), default=0), "cells": rows, "markdown": md.table_markdown(n)}
+
+
+def warnings_of(html: str, root: Node) -> list[str]:
+    """What of a page was dropped or guessed."""
+    said = []
+    if "\ufffd" in html:
+        said.append("the text holds replacement characters")
+    if any(n.attrs.get("src", "").startswith("data:") for n in root.find_all("img")):
+        said.append("images are embedded")
+    if root.find_all("iframe", "object", "embed"):
+        said.append("embedded frames were dropped")
+    if root.find_all("canvas", "svg"):
+        said.append("drawings were dropped")
+    return said
+
+
 def parse_pages(pages: DataFrame, want: tuple[str, ...] = FIELDS, html_col: str = "html", url_col: str = "url", content: str | None = None, body: str | None = None) -> DataFrame:
     """``pages`` with a struct ``page`` of the wanted fields, from one parse a page. Fields not asked for are null and cost nothing."""
     wanted = frozenset(want)
@@ -187,18 +201,75 @@ def enhanced_markdown(pages: DataFrame, **options) -> DataFrame:
     return parsed.withColumn("markdown", postprocess(F.col("page.markdown"))).withColumn("metadata", F.col("page.metadata")).drop("page")
 
 
+def _linked(text: Column, url: Column) -> Column:
+    return F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("["), text, F.lit("]("), url, F.lit(")"))).otherwise(text)
+
+
+def _filled(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _lines(*lines: Column) -> Column:
+    return F.filter(F.array(*lines), lambda x: x.isNotNull())
+
+
+def _stats(*named: tuple[str, Column]) -> Column:
+    """``**A: x | B: y**`` of those that are known; null if none is."""
+    known = _lines(*[F.concat(F.lit(f"{name}: "), _filled(c)) for name, c in named])
+    return F.when(F.size(known) > 0, F.concat(F.lit("**"), F.array_join(known, " | "), F.lit("**")))
+
+
+def _author(c) -> Column:
+    name = F.when(_filled(c("author_full_name")).isNotNull(), F.concat(c("author_full_name"), F.lit(" ("), c("author"), F.lit(")"))).otherwise(c("author"))
+    return F.when(_filled(c("author")).isNotNull(), F.concat(F.lit("**Author:** "), _linked(name, c("author_url"))))
+
+
 def metadata_header(m: str = "metadata") -> Column:
-    """The block above an article: what is known of it, a line each."""
+    """The lines above an article: what is known of it."""
     c = lambda name: F.col(f"{m}.{name}")
-    link = lambda text, url: F.when(url.isNotNull(), F.concat(F.lit("["), text, F.lit("]("), url, F.lit(")"))).otherwise(text)
-    line = lambda label, value: F.when(value.isNotNull(), F.concat(F.lit(f"**{label}:** "), value))
-    lines = F.array(
-        line("Author", link(c("author"), c("author_url"))),
-        line("Published", F.coalesce(F.date_format(F.try_to_timestamp(c("publish_date")), "MMMM d, yyyy"), c("publish_date_text"))),
-        line("Reading time", c("reading_time")), line("Difficulty", c("difficulty")), line("Views", c("views")),
-        line("Hubs", F.array_join(c("hubs"), ", ")), line("Tags", F.array_join(c("tags"), ", ")),
+    day = lambda x: F.date_format(F.try_to_timestamp(x), "MMMM d, yyyy")
+    changed = F.when(day(c("date_modified")) != day(c("publish_date")), F.concat(F.lit(" (updated "), day(c("date_modified")), F.lit(")")))
+    listed = lambda label, x: F.when(F.size(x) > 0, F.concat(F.lit(f"**{label}:** "), F.array_join(x, ", ")))
+    original = F.when(_filled(c("original_article_url")).isNotNull(), F.concat(F.lit("**Original article:** "), _linked(c("original_authors"), c("original_article_url"))))
+    return _lines(
+        _author(c),
+        F.when(c("is_translation"), F.concat(F.lit("**Type:** "), F.coalesce(_filled(c("translation_label")), F.lit("Translation")))),
+        F.when(_filled(c("original_authors")).isNotNull(), F.coalesce(original, F.concat(F.lit("**Original authors:** "), c("original_authors")))),
+        F.when(_filled(c("publish_date")).isNotNull(), F.concat(F.lit("**Published:** "), F.coalesce(day(c("publish_date")), c("publish_date_text"), c("publish_date")), F.coalesce(changed, F.lit("")))),
+        _stats(("Reading time", c("reading_time")), ("Difficulty", c("difficulty")), ("Views", c("views"))),
+        listed("Hubs", c("hubs")),
+        listed("Tags", c("tags")),
     )
-    return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
+
+
+def metadata_footer(m: str = "metadata") -> Column:
+    """The lines below an article: a rule, tags and hubs with their links, numbers, the author; an empty line after each."""
+    c = lambda name: F.col(f"{m}.{name}")
+    links = lambda label, x, plain: F.when(F.size(x) > 0, F.concat(F.lit(f"**{label}:** "), F.array_join(F.transform(x, lambda y: _linked(y["name"], y["url"])), ", "))).when(F.size(plain) > 0, F.concat(F.lit(f"**{label}:** "), F.array_join(plain, ", ")))
+    author = F.concat(_author(c), F.when(_filled(c("author_karma")).isNotNull(), F.concat(F.lit(" | Karma: "), c("author_karma"))).otherwise(""))
+    stats = _stats(("Votes", c("votes")), ("Views", c("views")), ("Bookmarks", c("bookmarks")), ("Comments", c("comments")))
+    lines = _lines(F.lit("---"), links("Tags", c("tag_links"), c("tags")), links("Hubs", c("hub_urls"), c("hubs")), stats, author)
+    return F.when(F.col(m).isNotNull(), F.flatten(F.transform(lines, lambda x: F.array(x, F.lit(""))))).otherwise(F.array().cast("array<string>"))
+
+
+def figure_rows(figures: DataFrame, id_col: str, receipts: DataFrame) -> DataFrame:
+    """(id, figure_num, filename, caption, original_url, body, error) of ``figures(id, figure_num, src, caption)``: one row each,
+    downloaded or not, from receipts of their addresses."""
+    jpeg = F.contains("src", F.lit(".jpeg")) | F.contains("src", F.lit(".jpg"))
+    named = figures.withColumn("filename", F.concat(F.lit("figure-"), F.col("figure_num").cast("string"), F.when(jpeg, ".jpg").otherwise(".png")))
+    got = receipts.select(F.col("url").alias("src"), "status", F.col("body").alias("_body"), *([F.col("error").alias("_error")] if "error" in receipts.columns else [F.lit(None).cast("string").alias("_error")]))
+    ok = F.col("_body").isNotNull() & (F.coalesce("status", F.lit(200)) < 400)
+    said = F.coalesce("_error", F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))), F.lit("not fetched"))
+    return named.join(got, "src", "left").select(id_col, "figure_num", "filename", "caption", F.col("src").alias("original_url"), F.when(ok, F.col("_body")).alias("body"), F.when(~ok, said).alias("error"))
+
+
+def without_popups(html: Column) -> Column:
+    """The page without consent dialogs, popups and banners, by their classes (the static form of dismissing them)."""
+
+    def convert(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: None if x is None else without_overlays(x))
+
+    return _string_udf(convert)(html)
 
 
 # ---- native forms on the raw text -------------------------------------------------------

@@ -39,7 +39,7 @@ def running_numbers(lists: DataFrame, key: str, order: str, items: str, start: s
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: int) -> DataFrame:
     """Points within [start, end): ranges are dealt to buckets of ``width``, so an equality joins them and the range is checked after."""
-    dealt = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    dealt = ranges.where(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     placed = points.withColumn("_bucket", F.floor(F.col(point) / width))
     return placed.join(dealt, "_bucket").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_bucket")
 

@@ -14,7 +14,7 @@ from html import escape
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.html.tree import Node, parse, serialize
@@ -605,3 +605,33 @@ def cid_urls(html: Column) -> Column:
 
 
 __all__ = ["api_blocks", "blocks_html", "blocks_markdown", "blocks_text", "model_blocks", "preprocessed"]
+
+
+# ---- samples of a model while it loads --------------------------------------------------------
+
+
+def model_fingerprint(chunks: Column) -> Column:
+    """How many chunks (array of JSON texts) a sample has, and their bytes; an absent sample has none of either."""
+    sizes = F.transform(F.coalesce(chunks, F.array().cast("array<string>")), lambda x: F.coalesce(F.octet_length(x), F.lit(0)).cast("long"))
+    return F.struct(F.size(sizes).alias("chunks"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("payload_bytes"))
+
+
+def same_fingerprint(left: Column, right: Column) -> Column:
+    """Both there, and equal."""
+    return F.coalesce(left == right, F.lit(False))
+
+
+def observed(blocks: DataFrame, name: str, text: str = "text", kind: str = "kind") -> DataFrame:
+    """``blocks`` with counters that Spark reports under ``name`` when the query ends: blocks, tables, images, text bytes."""
+    return blocks.observe(
+        name,
+        F.count(F.lit(1)).alias("blocks"),
+        F.count_if(F.col(kind) == "table").alias("tables"),
+        F.count_if(F.col(kind) == "image").alias("images"),
+        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("text_bytes"),
+    )
+
+
+def with_image_urls(items: DataFrame, addresses: DataFrame, cid: str = "cid") -> DataFrame:
+    """Image items with the address of their content id (``addresses(doc_id, cid, url)``), null where there is none."""
+    return items.join(addresses.select("doc_id", F.col("cid").alias(cid), "url"), ["doc_id", cid], "left")

@@ -324,12 +324,7 @@ def _islands(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r4d_contains_benchmark", "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def _contains(spark: SparkSession, d: str) -> DataFrame:
-    # the first words narrow the candidates to an equality before texts are compared
-    head = lambda c: F.substring(c, 1, 12)
-    items = table(spark, d, "benchmark").select(F.col("text").alias("item"), head(F.col("text")).alias("k")).distinct()
-    docs = table(spark, d, "documents")
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 11, F.lit(1))), lambda i: F.substring("text", i, F.lit(12))))).alias("k"))
-    return words.join(items, "k").where(F.contains("text", "item")).select("doc_id").distinct()
+    return verify.containing(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 _EXPECTED = f"SELECT doc_id, CASE WHEN ord = 0 THEN 'title' WHEN ord % 3 = 1 THEN 'paragraph' ELSE 'list_item' END AS kind, ord, line AS text FROM ({_LINES})"
@@ -522,9 +517,8 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
 @query("r4b_range_join", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 50")
 def _range(spark: SparkSession, d: str) -> DataFrame:
     ranges = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 50).alias("hi"))
-    dealt = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / 50), F.floor(F.col("hi") / 50))))
-    points = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.floor(F.col("o_totalprice") / 50).alias("_b"))
-    return points.join(dealt, "_b").where("o_totalprice >= lo and o_totalprice < hi").select("o_orderkey", "p_partkey")
+    points = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return relational.range_join(points, ranges, "o_totalprice", "lo", "hi", 50).select("o_orderkey", "p_partkey")
 
 
 @query("r5_running_numbers", "SELECT o_orderkey, CAST(1 + coalesce(sum(k) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_number FROM (SELECT o_orderkey, o_custkey, o_orderkey % 7 AS k FROM orders)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,53 @@ def portable(transport: Callable[[str], dict]) -> str:
     return base64.b64encode(cloudpickle.dumps(transport)).decode()
 
 
-def fetch(spark: SparkSession, urls: list[str], transport: Callable[[str], dict], partitions: int = 4) -> DataFrame:
-    spark.dataSource.register(ReceiptSource)
-    return spark.read.format("receipts").option("urls", "\n".join(urls)).option("transport", portable(transport)).option("numPartitions", str(partitions)).load()
+RECEIPT = "final_url string, status int, headers map<string,string>, body binary, outcome string, error_kind string, error string"
+
+
+def fetch(urls: DataFrame, transport: Callable[[str], dict], url_col: str = "url") -> DataFrame:
+    """``urls`` with a receipt for each row, through a caller's transport (URL to a dict of final_url, status, headers, body).
+
+    The URLs stay where they are: any number of them, no list goes through the driver."""
+    call = portable(transport)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask: Callable[[str], dict] = cloudpickle.loads(base64.b64decode(call))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # bodies may be large
+                part = batch.slice(at, 64)
+                rows = [_asked(ask, u) for u in part.column(batch.schema.get_field_index(url_col)).to_pylist()]
+                made = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("final_url", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("outcome", pa.string()), ("error_kind", pa.string()), ("error", pa.string())]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.columns], names=[*part.schema.names, *made.schema.names])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
+    return urls.mapInArrow(run, f"{own}, {RECEIPT}")
+
+
+def _asked(ask: Callable[[str], dict], url: str | None) -> dict:
+    try:
+        r = ask(url)
+        return {"final_url": r.get("final_url", url), "status": int(r.get("status", 200)), "headers": list((r.get("headers") or {}).items()), "body": bytes(r.get("body") or b""), "outcome": "response"}
+    except Exception as e:  # noqa: BLE001
+        return {"headers": [], "outcome": "error", "error_kind": kind_of(e), "error": str(e)}
+
+
+def routed(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """``urls`` with ``route`` and ``fetch_url``: files kept at a drive (their download), questions (their print view), all
+    others as they are."""
+    from lintel.functions import urls as U
+
+    drive, question = U.drive_download_url(F.col(url_col)), U.question_print_url(F.col(url_col))
+    route = F.when(drive.isNotNull(), "drive_image").when(question.isNotNull(), "question").otherwise("page")
+    return urls.withColumns({"route": route, "fetch_url": F.coalesce(drive, question, F.col(url_col))})
+
+
+def page_html(receipts: DataFrame, url_col: str = "url") -> DataFrame:
+    """The HTML of routed receipts: a drive's image is a page that shows it, all else the decoded body."""
+    from lintel.functions import urls as U
+
+    kind = F.lower(F.coalesce(F.element_at("headers", "content-type"), F.lit("")))
+    image = (F.col("route") == "drive_image") & F.startswith(kind, F.lit("image/"))
+    return receipts.withColumn("html", F.when(image, U.drive_page_html(F.col(url_col))).otherwise(decoded(F.col("body"), kind)))
 
 
 def text_only(receipts: DataFrame) -> DataFrame:

@@ -37,34 +37,47 @@ def session_counts(stream: DataFrame, time_col: str, key: str, gap: str = "30 mi
 def settle(samples: DataFrame, key: str = "key", ts_ms: str = "ts_ms", value: str = "fingerprint", stable_ms: int = 1_500, most_ms: int = 30_000) -> DataFrame:
     """Per key, once: when its value had stayed the same long enough (``settled``), or that time ran out (``timeout``).
 
-    State is a value's fingerprint, the time since when it stands, and the start; it is
-    dropped when the key is done with. Samples may come in several batches.
+    State is a value's fingerprint, the time since when it stands, and the start. A timer ends
+    a key whose samples stop coming: after ``most_ms`` without the rest it is a ``timeout``. A
+    key that is done with is remembered for as long again, so that late samples don't begin it
+    anew, and then its state goes. Samples may come in several batches.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, since, start, done = state.get if state.exists else (None, 0, -1, False)
-        out = []
-        rows = pd.concat(list(frames)) if not state.hasTimedOut else pd.DataFrame(columns=[ts_ms, value])
-        for ts, v in rows.sort_values(ts_ms)[[ts_ms, value]].itertuples(index=False):
+        out, last = [], start
+        if state.hasTimedOut:
+            if not done:
+                out.append((k[0], start + most_ms, "timeout"))
+                done = True
+                state.update((now, since, start, done))
+                state.setTimeoutDuration(most_ms)
+            else:
+                state.remove()
+            yield pd.DataFrame(out, columns=["key", "at_ms", "status"])
+            return
+        for ts, v in pd.concat(list(frames)).sort_values(ts_ms)[[ts_ms, value]].itertuples(index=False):
             if done:
                 break
+            last = int(ts)
             if start < 0:
-                start = int(ts)
+                start = last
             if v is None or v != now:
-                now, since = v, int(ts)
+                now, since = v, last
             if now is not None and ts - since >= stable_ms and ts - start < most_ms:
-                out.append((k[0], int(ts), "settled"))
+                out.append((k[0], last, "settled"))
                 done = True
             elif ts - start >= most_ms:
-                out.append((k[0], int(ts), "timeout"))
+                out.append((k[0], last, "timeout"))
                 done = True
         state.update((now, since, start, done))
+        state.setTimeoutDuration(most_ms if done else max(1, most_ms - (last - start)))
         yield pd.DataFrame(out, columns=["key", "at_ms", "status"])
 
     kind = samples.schema[key].dataType.simpleString()
     chosen = samples.select(F.col(key), F.col(ts_ms).cast("long").alias(ts_ms), F.col(value).cast("string").alias(value))
     return chosen.groupBy(key).applyInPandasWithState(
-        step, f"key {kind}, at_ms long, status string", "now string, since long, start long, done boolean", "append", GroupStateTimeout.NoTimeout
+        step, f"key {kind}, at_ms long, status string", "now string, since long, start long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

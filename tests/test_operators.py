@@ -119,9 +119,185 @@ def test_receipt_source(spark):
             raise TimeoutError("late")
         return {"status": 200, "headers": {"content-type": "text/html; charset=latin1"}, "body": "é".encode("latin-1")}
 
-    got = {r["url"]: r for r in receipts.fetch(spark, ["http://a", "http://bad"], transport, 2).collect()}
-    assert got["http://bad"]["error_kind"] == "timeout" and got["http://a"]["status"] == 200
-    assert receipts.text_only(receipts.fetch(spark, ["http://a"], transport)).first()["text"] == "é"
+    urls = spark.createDataFrame([(1, "http://a"), (2, "http://bad"), (3, None)], "n long, url string")
+    got = {r["url"]: r for r in receipts.fetch(urls, transport).collect()}
+    assert got["http://bad"]["error_kind"] == "timeout" and got["http://a"]["status"] == 200 and got["http://a"]["n"] == 1
+    assert got[None]["outcome"] == "error"
+    assert receipts.text_only(receipts.fetch(urls.limit(1), transport)).first()["text"] == "é"
+    spark.dataSource.register(receipts.ReceiptSource)
+    read = spark.read.format("receipts").option("urls", "http://a").option("transport", receipts.portable(transport)).load()
+    assert read.first()["headers"] == {"content-type": "text/html; charset=latin1"}
+
+
+def test_routes(spark):
+    from lintel.sources import receipts
+
+    rows = [("https://drive.google.com/file/d/abcDEF123456789/view",), ("https://stackoverflow.com/questions/7/x",), ("https://e.com/",)]
+    out = receipts.routed(spark.createDataFrame(rows, "url string")).withColumns({"headers": F.create_map(F.lit("content-type"), F.lit("image/png")), "body": F.lit("<p>").cast("binary")})
+    got = {r["route"]: r for r in receipts.page_html(out).collect()}
+    assert set(got) == {"drive_image", "question", "page"} and got["page"]["html"] == "<p>" and got["page"]["fetch_url"] == "https://e.com/"
+    assert "abcDEF123456789" in got["drive_image"]["html"] and got["drive_image"]["html"].startswith("<!doctype html>")
+
+
+def test_containing(spark):
+    """Against a plain search: items inside of words, of one word, short, with line ends, and empty ones."""
+    docs = [(1, "the cat sat on the mat today again"), (2, "scathed mats"), (3, "a\nb c d"), (4, ""), (5, None), (6, "xx yy zz"), (6, "the cat")]
+    items = ["the mat", "cat sat on the ma", "the", "a\nb", "y z", "q", "mat today again", "no such words here", None, "he cat sat o"]
+    for own in (items, [*items, ""]):
+        got = verify.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in own], "text string"))
+        assert sorted(r[0] for r in got.collect()) == sorted({d for d, t in docs if t is not None and any(x is not None and x in t for x in own)})
+
+
+def test_verify_row_by_row_agrees(spark):
+    """One array of snippets a document, or a row for each snippet: the same answers."""
+    words = "alpha beta gamma delta \u00d7 \u2014 \\times $x$ caf\u00e9 \u2019s".split()
+    docs = [(k, "\n".join(" ".join(words[(k * 7 + j * 3 + i) % len(words)] for i in range(9)) for j in range(5))) for k in range(12)] + [(99, None)]
+    kinds = ["title", "heading", "paragraph", "list_item", "code", "quoted_formula", "other"]
+    want = [(k, kinds[(k + j) % 7], j, " ".join(words[(k * 5 + j * (1 + i)) % len(words)] for i in range(6))) for k in range(14) for j in range(9)]
+    documents = spark.createDataFrame(docs, "doc_id long, markdown string")
+    expected = spark.createDataFrame(want, "doc_id long, kind string, ord int, text string").where("kind not in ('paragraph', 'list_item')")
+    rows = verify.check_snippets(expected.join(documents, "doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("found").alias("ok"))
+    plain = {r["doc_id"]: (r["n"], r["ok"]) for r in rows.collect()}
+    got = {r["doc_id"]: (r["total_checks"], r["passed_checks"]) for r in verify.verify(documents, expected).collect()}
+    assert got == {k: plain.get(k, (0, 0)) for k, _ in docs} and len({ok for _, ok in got.values()}) > 1
+
+
+def test_images_of_html_and_markdown(spark):
+    html = '<p><img alt="a" src="data:image/jpeg;base64,QUI="><IMG src="data:image/svg+xml;base64,PHN2Zz4=" id=x><img src="/k.png"></p>'
+    df = spark.createDataFrame([(1, html, "![a](http://h/1.png) x ![](http://h/2.jpg \"t\") ![b](http://h/1.png)y"), (2, None, "no image"), (3, "<p>", None)], "id long, html string, markdown string")
+    out, rows = images.embedded_in_html(df, "id")
+    assert {r["id"]: r["html"] for r in out.collect()}[1] == '<p><img alt="a" src="images/image-01.jpg"><IMG src="images/image-02.svg" id=x><img src="/k.png"></p>'
+    assert sorted((r["filename"], r["mime_type"], bytes(r["bytes"])) for r in rows.collect()) == [("image-01.jpg", "image/jpeg", b"AB"), ("image-02.svg", "image/svg+xml", b"<svg>")]
+    got = {r["id"]: r for r in images.plan_every(df, "id").collect()}
+    assert got[1]["markdown"] == "![a](images/image-01.png) x ![](images/image-02.jpg) ![b](images/image-03.png)y"
+    assert [(x["url"][-5:], x["filename"]) for x in got[1]["pending"]] == [("1.png", "image-01.png"), ("2.jpg", "image-02.jpg"), ("1.png", "image-03.png")]
+    assert got[2]["markdown"] == "no image" and got[2]["pending"] == [] and got[3]["markdown"] is None
+    refs = images.references(df, "id")
+    excluded = spark.createDataFrame([(f"d{k}.org",) for k in range(20)] + [("H",)], "domain string")
+    assert images.localisable(refs, excluded).count() == 0 and images.localisable(refs, excluded.where("domain <> 'H'")).count() == 3
+    below = spark.createDataFrame([(1, 0, "https://a.b.c.org/x.png"), (1, 1, "https://xc.org/y.png"), (1, 2, "images/z.png")], "id long, ord int, url string")
+    assert [r["url"] for r in images.localisable(below, spark.createDataFrame([("c.org",)], "domain string")).collect()] == ["https://xc.org/y.png"]
+    assert images.present_in(refs, refs.where("url like '%1.png'")).count() == 2
+
+
+def test_localised_document_keeps_failed_names(spark):
+    df = spark.createDataFrame([(1, "![](u/1) ![](u/12)", '<img src="u/1"><img src="u/12">')], "id long, markdown string, html string")
+    refs = spark.createDataFrame([(1, 0, "u/1"), (1, 1, "u/12"), (1, 2, "u/1"), (1, 3, None)], "id long, ord int, url string")
+    receipts = spark.createDataFrame([("u/1", 200, b"x"), ("u/12", 404, b"y")], "url string, status int, body binary")
+    out, rows = images.localise_document(df, "id", refs, receipts)
+    r = out.first()
+    assert r["markdown"] == "![](images/image-01.png) ![](images/image-02.png)" and r["html"].count("images/image-0") == 2
+    assert [(x["filename"], bytes(x["body"])) for x in rows.collect()] == [("image-01.png", b"x")]
+
+
+def test_archives_of_pages(spark):
+    html = '<html><head><link rel="stylesheet" href="/s.css"></head><body><script>1</script><p>x <img src="a.gif?v=1"><img src="b" data-web-capture-extension=".JPG"><img src="/d/a.gif?v=1"></p></body></html>'
+    df = spark.createDataFrame([(1, "e.com/d/p", html), (2, "e.com", None)], "page_id long, url string, html string")
+    receipts = spark.createDataFrame([("https://e.com/d/a.gif?v=1", 200, b"G"), ("https://e.com/d/b", 500, b""), ("https://e.com/s.css", 200, b"C")], "url string, status int, body binary")
+    got = {r["path"]: bytes(r["bytes"]).decode() for r in archive.archive_entries(df, "page_id", receipts, document="html").collect()}
+    assert set(got) == {"document.html", "images/image-1.gif", "css/style-1.css"} and "<script" not in got["document.html"]
+    assert got["document.html"].count('src="images/image-1.gif"') == 2 and 'src="images/image-2.jpg"' in got["document.html"] and 'href="css/style-1.css"' in got["document.html"]
+    got = {r["path"]: bytes(r["bytes"]).decode() for r in archive.archive_entries(df, "page_id", receipts).collect()}
+    assert set(got) == {"document.html", "document.md", "images/image-1.gif"} and got["document.md"].count("(images/image-1.gif)") == 2 and "script" in got["document.html"]
+    got = {r["path"]: bytes(r["bytes"]).decode() for r in archive.archive_entries(df, "page_id", receipts, keep_links=True).collect()}
+    assert set(got) == {"document.html", "document.md"} and "https://e.com/d/a.gif?v=1" in got["document.md"]
+    assert value(spark, archive.archive_name(F.lit("https://www.e.com/x"))) == "www-e-com-archive.zip"
+
+
+def test_metadata_lines(spark):
+    m = {"author": "nick", "author_full_name": "N. Ick", "author_url": "u", "author_karma": "5", "publish_date": "2024-03-01T10:00:00Z", "date_modified": "2024-04-02T10:00:00Z", "reading_time": "3 min", "views": "9", "votes": "1", "hubs": ["H"], "hub_urls": [{"name": "H", "url": "h"}], "tags": ["a", "b"], "is_translation": True, "original_authors": "O", "original_article_url": "o"}
+    kind = f"struct<{pages.PARSED.split('metadata struct<')[1]}"
+    df = spark.createDataFrame([(json.dumps(m),), (json.dumps({"tag_links": [{"name": "t", "url": None}]}),), (None,)], "j string").select(F.from_json("j", kind).alias("metadata"))
+    rows = df.select(pages.metadata_header().alias("h"), pages.metadata_footer().alias("f")).collect()
+    assert rows[0]["h"] == ["**Author:** [N. Ick (nick)](u)", "**Type:** Translation", "**Original article:** [O](o)", "**Published:** March 1, 2024 (updated April 2, 2024)", "**Reading time: 3 min | Views: 9**", "**Hubs:** H", "**Tags:** a, b"]
+    assert rows[0]["f"] == ["---", "", "**Tags:** a, b", "", "**Hubs:** [H](h)", "", "**Votes: 1 | Views: 9**", "", "**Author:** [N. Ick (nick)](u) | Karma: 5", ""]
+    assert rows[1]["h"] == [] and rows[1]["f"] == ["---", "", "**Tags:** t", ""] and rows[2]["h"] == [] and rows[2]["f"] == []
+
+
+def test_metadata_tables_and_warnings_of_one_parse(spark):
+    html = "<TIME DATETIME='2024-01-01'>New Year</TIME><table><tr><th>a<th>b<tr><td>1|2<td><b>x</b></table><iframe></iframe><p>end <a href='/q'>l</a>"
+    page = pages.parse_pages(spark.createDataFrame([(1, "http://h/d/", html)], "page_id long, url string, html string"), pages.FIELDS).first()["page"]
+    assert page["metadata"]["publish_date"] == "2024-01-01" and page["links"][0]["href"] == "/q"
+    assert page["tables"][0]["cells"] == [["a", "b"], ["1|2", "x"]] and page["tables"][0]["markdown"] == "| a | b |\n| --- | --- |\n| 1\\|2 | **x** |"
+    assert page["warnings"] == ["embedded frames were dropped"] and "[l](http://h/q)" in page["markdown"] and page["text"].startswith("New Year")
+
+
+def test_figures_of_receipts(spark):
+    figures = spark.createDataFrame([(1, 3, "http://h/a.jpeg", "c"), (1, 4, "http://h/b", None), (1, 5, "http://h/c.png", "d")], "id long, figure_num int, src string, caption string")
+    receipts = spark.createDataFrame([("http://h/a.jpeg", 200, b"x"), ("http://h/b", 404, b"")], "url string, status int, body binary")
+    got = {r["figure_num"]: (r["filename"], r["error"]) for r in pages.figure_rows(figures, "id", receipts).collect()}
+    assert got == {3: ("figure-3.jpg", None), 4: ("figure-4.png", "HTTP 404"), 5: ("figure-5.png", "not fetched")}
+
+
+@pytest.mark.parametrize(
+    ("f", "given", "want"),
+    [
+        (X.strip_empty_titles, "<img src=a title=\"\" alt='x' title=''><p title=\"\"><img title=\"t\">", "<img src=a alt='x'><p title=\"\"><img title=\"t\">"),
+        (lambda c: X.attribute(c, "href"), "<a class=x HREF = 'a&amp;b&#233;&#x1F600;&#97;'>", "a&b\u00e9\U0001f600a"),
+        (lambda c: X.attribute(c, "href"), "<a href=/x?y>", "/x?y"),
+        (lambda c: X.attribute(c, "href"), '<a href=" ">', None),
+        (lambda c: X.attribute(c, "href"), "<a data-x=1>", None),
+        (pages.without_popups, '<div class="fc-consent-root">x</div><div class="Cookie-bar" style="position: fixed">y</div><p class="popup">z</p>', '<html><head></head><body><p class="popup">z</p></body></html>'),
+        (batch.snake_json, '{"aB": [{"cDe": 1, "x_y": null}], "k": "aB"}', '{"a_b":[{"c_de":1,"x_y":null}],"k":"aB"}'),
+        (batch.snake_json, "{", None),
+    ],
+)
+def test_further_functions(spark, f, given, want):
+    assert value(spark, f(F.lit(given))) == want
+    value(spark, f(F.lit(None).cast("string")))
+
+
+def test_options(spark):
+    asked = spark.createDataFrame([("GIF", "12px", "0", "true"), ("bmp", "x", ".5", None), (None, None, None, "TRUE")], "format string, maxSize string, similarity string, extractKeyframes string")
+    got = [(r["error"] is None, r["format"], r["maxSize"], r["similarity"], r["minFrames"], r["extractKeyframes"]) for r in batch.animation_options(asked).collect()]
+    assert got == [(True, "gif", 12, 0.99, 120, True), (False, "bmp", 1024, 0.5, 120, False), (True, "gif", 1024, 0.99, 120, False)]
+    o = batch.EngineOptions.from_env({"LINTEL_EMBED_IMAGES": "TRUE", "LINTEL_ENGINE": "playwright", "LINTEL_FORMAT": "txt"}, format="html")
+    assert (o.embed_images, o.engine, o.format, o.local_images) == (True, "playwright", "html", True)
+    nested = spark.createDataFrame([((1, [(2,)]),)], "camelCase struct<innerField:int,listOf:array<struct<deepField:int>>>")
+    assert batch.snake_columns(nested).schema.simpleString() == "struct<camel_case:struct<inner_field:int,list_of:array<struct<deep_field:int>>>>"
+
+
+def test_model_samples(spark):
+    from pyspark.sql import Observation  # noqa: F401
+
+    from lintel.operators import richdoc
+
+    df = spark.createDataFrame([(["{}", "\u00e9"], ["{}", "ab"]), (None, None), (["a"], ["bb"])], "a array<string>, b array<string>")
+    a, b = richdoc.model_fingerprint(F.col("a")), richdoc.model_fingerprint(F.col("b"))
+    assert [(r["x"]["chunks"], r["x"]["payload_bytes"], r["s"]) for r in df.select(a.alias("x"), richdoc.same_fingerprint(a, b).alias("s")).collect()] == [(2, 4, True), (0, 0, True), (1, 1, False)]
+    seen = Observation("blocks")
+    blocks = spark.createDataFrame([("table", "x"), ("paragraph", "\u00e9"), ("image", None)], "kind string, text string")
+    richdoc.observed(blocks, seen).collect()
+    assert seen.get == {"blocks": 3, "tables": 1, "images": 1, "text_bytes": 3}
+    items = spark.createDataFrame([(1, "c1"), (1, "c2")], "doc_id long, cid string")
+    got = richdoc.with_image_urls(items, spark.createDataFrame([(1, "c1", "u")], "doc_id long, cid string, url string"))
+    assert sorted((r["cid"], r["url"]) for r in got.collect()) == [("c1", "u"), ("c2", None)]
+
+
+def test_table_places_cut_in_a_cycle_are_whole_elsewhere():
+    table = [{"_5": 1, "_6": 3}, {"_7": 2}, {"_8": 1, "_9": 4}, [2, 1], "leaf", "first", "second", "down", "up", "more"]
+    two = {"up": None, "more": "leaf"}
+    assert dialog.resolve_table(table) == {"first": {"down": two}, "second": [{"up": {"down": None}, "more": "leaf"}, {"down": two}]}
+
+
+def test_silent_keys_time_out(spark, tmp_path):
+    """A key whose samples stop is a timeout by the clock; then its state goes."""
+    import time
+
+    from lintel.streaming.receipts import settle
+
+    df = spark.createDataFrame([("a", 0, "x"), ("b", 0, "x"), ("b", 600, "x")], "key string, ts_ms long, fingerprint string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = settle(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), stable_ms=500, most_ms=1500)
+    q = stream.writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and (spark.table("silent").count() < 2 or q.lastProgress["stateOperators"][0]["numRowsTotal"]):
+            time.sleep(0.3)
+        assert {(r["key"], r["at_ms"], r["status"]) for r in spark.table("silent").collect()} == {("b", 600, "settled"), ("a", 1500, "timeout")}
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    finally:
+        q.stop()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -131,7 +307,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [("a", 0, "x"), ("a", 1000, "y"), ("a", 2600, "y"), ("b", 0, "x"), ("b", 900, "y"), ("b", 1800, "z")]
     df = spark.createDataFrame(rows, "key string, ts_ms long, fingerprint string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = settle(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    stream = settle(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), most_ms=900_000)  # beyond what the test takes
     q = stream.writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["key"], r["at_ms"], r["status"]) for r in spark.table("settled").collect()}
