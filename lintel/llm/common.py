@@ -30,8 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-#: Lets Spark delete a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is staged: a query's shuffle files go when it ends, instead of when the driver happens to collect its garbage,
+#: and texts go to Python in batches of megabytes.
+WHILE_STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -43,15 +44,14 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lintel-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_STAGED}
+    for k, v in WHILE_STAGED.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _STAGED[id(out)] = (weakref.ref(out), path)
     return out

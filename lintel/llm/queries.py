@@ -51,6 +51,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the license scan SQL can express."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -61,7 +66,9 @@ PLANTED = "\\### Assistant: </turn> ok"
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], rows.schema)
+    said = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": said, "text": F.lit(PLANTED)}
+    planted = spark.range(2).select(*[own[f.name].cast(f.dataType).alias(f.name) for f in rows.schema.fields])
     made = format_chats(rows.unionByName(planted))
     read = made.withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("segments")))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -81,7 +88,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(docs, model, keep=["doc_id", "lang"])
     return scored.select(
         "doc_id",
-        (bernoulli_fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.coalesce(bernoulli_fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
         (F.col("score") >= toxicity.threshold_of(model)).alias("flagged"),
@@ -96,7 +103,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, fold=0, parts=5))
-    return found.withColumn("held_out", bernoulli_fold(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "lang_pred", "score")
+    return found.withColumn("held_out", F.coalesce(bernoulli_fold(F.col("doc_id"), 5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +121,36 @@ def op10_passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END) AS g
+  FROM d
+),
+n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a AS doc_id, count(*) AS k FROM links GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(k, 0) AS n_links FROM n JOIN least USING (doc_id) LEFT JOIN many USING (doc_id)
+"""
+
+OP3_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+hits AS (
+  SELECT doc_id, i - 1 AS place, CASE w[i] WHEN 'mit' THEN 'mit' WHEN 'apache' THEN 'apache' ELSE 'gpl' END AS label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+  WHERE (w[i] IN ('mit', 'apache') AND w[i + 1] = 'license') OR (w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')
+),
+f AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
@@ -169,6 +206,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_license_scan": op3_license_scan,
+        "op3_base_places": op3_base_places,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_toxicity": op6_toxicity,
@@ -183,7 +221,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": OP1_SQL,
         "op2_benchmark_decontamination": OP2_SQL,
+        "op3_base_places": OP3_BASE_SQL,
         "op5_chat_formatting": OP5_SQL,
         "op9_exact_dedup": OP9_SQL,
     }
