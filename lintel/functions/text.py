@@ -36,23 +36,30 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+# The steps of Markdown clean-up, in order; replacements as Java writes them.
+UNICODE = [("\u00a0", "&nbsp;"), ("\u2018", "'"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\u2014", " \u2014 "), ("\u2013", "-"), ("\u2026", "...")]
+PERCENT = [(r"\$(\d+)\\+%\$", r"\$$1\\\\%\$"), (r"\$(\d+)\\text\{%\}\$", r"\$$1\\\\%\$")]
+TIDY = [(r"([^\n`]) +(?!\n)", "$1 "), (f"{SPACE}+\u2014{SPACE}+", " \u2014 "), (r"(?m)^\$\s*$", "")]
+EMPTY_BOLD = [(r"(\S)\*\*[^\S\n]*\*\*(\S)", "$1 $2"), (r"\*\*[^\S\n]*\*\*", "")]
+
+
 def normalize_unicode(c: Column) -> Column:
     """No-break space as an entity, straight quotes, spaced em-dash, hyphen for en-dash, three dots."""
-    return swap(c, ("\u00a0", "&nbsp;"), ("\u2018", "'"), ("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\u2014", " \u2014 "), ("\u2013", "-"), ("\u2026", "..."))
+    return swap(c, *UNICODE)
 
 
 def percent_in_formulas(c: Column) -> Column:
     """A percent sign in a formula of one number gets two backslashes."""
-    return chain(c, (r"\$(\d+)\\+%\$", r"\$$1\\\\%\$"), (r"\$(\d+)\\text\{%\}\$", r"\$$1\\\\%\$"))
+    return chain(c, *PERCENT)
 
 
 def tidy_spaces(c: Column) -> Column:
     """Double spaces except hard breaks, one space around em-dashes, no lone ``$`` lines."""
-    return chain(c, (r"([^\n`]) +(?!\n)", "$1 "), (f"{SPACE}+\u2014{SPACE}+", " \u2014 "), (r"(?m)^\$\s*$", ""))
+    return chain(c, *TIDY)
 
 
 def drop_empty_bold(c: Column) -> Column:
-    return chain(c, (r"(\S)\*\*[^\S\n]*\*\*(\S)", "$1 $2"), (r"\*\*[^\S\n]*\*\*", ""))
+    return chain(c, *EMPTY_BOLD)
 
 
 def postprocess(c: Column, unicode: bool = True, formulas: bool = True, bold: bool = True, percent: bool = True) -> Column:
@@ -68,6 +75,39 @@ def postprocess(c: Column, unicode: bool = True, formulas: bool = True, bold: bo
     return tidy_spaces(c)
 
 
+def _in_python(steps: list[tuple[str, str]]) -> list[tuple[re.Pattern, str]]:
+    """Java's steps for ``re``: ASCII classes, its ends of lines, its references."""
+    ends = r"\n\r\u0085\u2028\u2029"
+    out = []
+    for pattern, to in steps:
+        if pattern.startswith("(?m)^") and pattern.endswith("$"):
+            pattern = rf"(?<![^{ends}]){pattern[5:-1]}(?![^{ends}])"
+        to = re.sub(r"\\(.)|\$(\d)", lambda m: rf"\g<{m[2]}>" if m[2] else "\\\\" if m[1] == "\\" else m[1], to)
+        out.append((re.compile(pattern, re.ASCII), to))
+    return out
+
+
+_PERCENT, _TIDY, _EMPTY_BOLD = map(_in_python, (PERCENT, TIDY, EMPTY_BOLD))
+
+
+def postprocessed(text: str) -> str:
+    """``postprocess`` of a text that is in Python already."""
+    by_line = lambda f, t: "\n".join(map(f, t.split("\n")))
+    for what, to in UNICODE:
+        text = text.replace(what, to)
+    if "$" in text:
+        text = by_line(formula_line, text)
+        for pattern, to in _PERCENT:
+            text = pattern.sub(to, text)
+    if "**" in text:
+        for pattern, to in _EMPTY_BOLD:
+            text = pattern.sub(to, text)
+        text = by_line(bold_line, text)
+    for pattern, to in _TIDY:
+        text = pattern.sub(to, text)
+    return text
+
+
 # What comparison of texts takes as equal, in order.
 COMPARE_STEPS = [
     (r"[\u2000-\u200F\u2028-\u202F]", " "), (r"\u00A0", " "), (r"[\u2018\u2019]", "'"), (r"[\u201C\u201D]", '"'),

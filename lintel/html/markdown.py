@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from lintel.html.rewrite import prepared
-from lintel.html.tree import BLOCK, Node, parse
+from lintel.html.tree import BLOCK, LEVELS, Node, parse
 
 _ESCAPES = [
     (re.compile(r"\\"), r"\\\\"), (re.compile(r"\*"), r"\\*"), (re.compile(r"^-"), r"\\-"), (re.compile(r"^\+ "), r"\\+ "),
@@ -64,18 +65,38 @@ def _collapse(root: Node) -> None:
     trim_end()
 
 
-def _joined(a: str, b: str) -> str:
-    """At most two line ends between two pieces."""
-    left, right = a.rstrip("\n"), b.lstrip("\n")
-    gap = max(len(a) - len(left), len(b) - len(right))
-    return left + "\n" * min(gap, 2) + right
+def _joined(pieces: Iterable[str]) -> str:
+    """Pieces one after the other, with at most two line ends between them."""
+    out, ends = [], 0
+    for piece in pieces:
+        inner = piece.lstrip("\n")
+        before = min(max(ends, len(piece) - len(inner)), 2)
+        if inner:
+            body = inner.rstrip("\n")
+            out += ["\n" * before, body]
+            ends = len(inner) - len(body)
+        else:
+            ends = before
+    return "".join(out) + "\n" * ends
 
 
 def _children(n: Node) -> str:
-    out = ""
+    return _joined(map(_render, n.children))
+
+
+def _items(n: Node) -> str:
+    """What is in a list, its items numbered by place."""
+    items = n.kids("li")
+    shown, last, place = n.kids(), len(items) - 1, 0
+    ends_with_item = bool(items) and shown[-1] is items[-1]
+    pieces = []
     for c in n.children:
-        out = _joined(out, _render(c))
-    return out
+        if c.tag == "li":
+            pieces.append(_item(c, place, ends_with_item and place == last))
+            place += 1
+        else:
+            pieces.append(_render(c))
+    return _joined(pieces)
 
 
 def _flanked(inner: str, make) -> str:
@@ -133,18 +154,16 @@ def _owner(row: Node) -> Node | None:
     return up
 
 
-def _item(n: Node) -> str:
+def _item(n: Node, place: int = 0, last: bool = True) -> str:
     inner = re.sub(r"\n+$", "\n", _children(n).lstrip("\n")).replace("\n", "\n    ")
     up = n.parent
     mark = "-   "
     if up is not None and up.tag == "ol":
-        at = next(i for i, c in enumerate(up.kids("li")) if c is n)
         first = int(up.attrs["start"]) if re.fullmatch(r"-?\d+", up.attrs.get("start", "")) else 1
-        mark = f"{first + at}.  "
+        mark = f"{first + place}.  "
     box = next((c for c in n.kids("input") if c.attrs.get("type") == "checkbox"), None)
     if box is not None:
         inner = ("[x] " if "checked" in box.attrs else "[ ] ") + inner.lstrip()
-    last = up is None or not up.kids() or up.kids()[-1] is n
     return mark + inner + ("" if last or inner.endswith("\n") else "\n")
 
 
@@ -172,8 +191,8 @@ def _render(n: Node) -> str:
         return _inline_code(n.content()) if t == "code" else _children(n)
     if t == "table":
         return _table(n)
-    inner = _children(n)
-    if re.fullmatch("h[1-6]", t):
+    inner = _items(n) if t in ("ul", "ol") else _children(n)
+    if t in LEVELS:
         body = inner.strip().replace("\n", " ")
         return f"\n\n{'#' * int(t[1])} {body}\n\n" if body else ""
     if t == "blockquote":
@@ -181,8 +200,8 @@ def _render(n: Node) -> str:
     if t in ("ul", "ol"):
         nested = n.parent is not None and n.parent.tag == "li" and n.parent.kids()[-1] is n
         return "\n" + inner if nested else "\n\n" + inner + "\n\n"
-    if t == "li":
-        return _item(n)
+    if t == "li":  # outside of a list
+        return _item(n, 0, n.parent is None or n.parent.kids()[-1] is n)
     if t in ("strong", "b"):
         return _flanked(inner, lambda x: f"**{x}**")
     if t in ("em", "i"):

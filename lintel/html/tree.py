@@ -22,6 +22,7 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+LEVELS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD = frozenset("title meta link base style script noscript template".split())
 
 
@@ -113,6 +114,9 @@ class _Builder(HTMLParser):
         self.raw: Node | None = None
         self.in_head = True
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines and columns aren't asked for
+
     def _close_to(self, node: Node) -> None:
         while self.stack[-1] is not node:
             self.stack.pop()
@@ -161,7 +165,7 @@ class _Builder(HTMLParser):
                     self._close_to(n)
                     if tag not in ("tr", "thead", "tbody", "tfoot"):
                         break
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.stack[-1].tag or ""):
+        if tag in LEVELS and self.stack[-1].tag in LEVELS:
             self.stack.pop()
         if tag == "a":
             for f in [f for f in self.active if f.tag == "a"]:
@@ -201,7 +205,7 @@ class _Builder(HTMLParser):
         if tag in FORMATTING:
             self.active = [f for k, f in enumerate(self.active) if not (f.tag == tag and not any(g.tag == tag for g in self.active[k + 1 :]))]
         for n in reversed(self.stack[1:]):
-            if n.tag == tag or (re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", n.tag)):
+            if n.tag == tag or (tag in LEVELS and n.tag in LEVELS):
                 self._close_to(n)
                 return
             if tag in FORMATTING and n.tag in ("td", "th", "table"):

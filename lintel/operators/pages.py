@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.functions.text import SPACE, postprocess
+from lintel.functions.text import SPACE, postprocessed
 from lintel.functions.urls import resolved
 from lintel.html import markdown as md
 from lintel.html.rewrite import absolutise, formula_of, pretty, rewritten, without_overlays
-from lintel.html.tree import Node, parse, select
+from lintel.html.tree import Node, parse
 
 NAMED = "array<struct<name:string,url:string>>"
 METADATA = (
@@ -23,47 +23,52 @@ METADATA = (
     f"hubs array<string>, hub_urls {NAMED}, tags array<string>, tag_links {NAMED}, is_translation boolean, translation_label string, "
     "original_article_url string, original_authors string, original_author_text string"
 )
-#: Which element shows which field's text.
+#: The class of the element that shows a field's text, and other classes that fields come from.
 TEXT_FIELDS = {
-    "reading_time": ".tm-article-reading-time__label", "difficulty": ".tm-article-complexity__label", "votes": ".tm-votes-meter__value",
-    "comments": ".tm-article-comments-counter-link__value", "bookmarks": ".bookmarks-button__counter", "author_karma": ".tm-karma__votes",
-    "translation_label": ".tm-publication-label_variant-translation",
+    "reading_time": "tm-article-reading-time__label", "difficulty": "tm-article-complexity__label", "votes": "tm-votes-meter__value",
+    "comments": "tm-article-comments-counter-link__value", "bookmarks": "bookmarks-button__counter", "author_karma": "tm-karma__votes",
+    "translation_label": "tm-publication-label_variant-translation",
 }
+AUTHOR, VIEWS, HUB, ORIGIN = "tm-user-info__username", "tm-icon-counter__value", "tm-publication-hub__link", "tm-article-presenter__origin-link"
+TAG_LISTS, TAG_LINK = "tm-article-body__tags-item", "tm-tags-list__link"
 
 
 def metadata_of(root: Node) -> dict:
-    """Article metadata by selector; absent fields are null."""
+    """Article metadata by class; absent fields are null. One walk over the page."""
     out: dict = dict.fromkeys(x.split()[0] for x in METADATA.split(", ") if not x.startswith(("url",)))
-
-    def text_of(selector: str) -> str | None:
-        got = select(root, selector)
-        return "".join(n.content() for n in got).strip() if got else None
-
-    def named(selector: str) -> list[dict] | None:
-        return [{"name": n.content().strip(), "url": n.attrs.get("href")} for n in select(root, selector)] or None
-
-    for field, selector in TEXT_FIELDS.items():
-        out[field] = text_of(selector)
+    classes: dict[str, list[Node]] = {}
+    tags: dict[str, list[Node]] = {}
+    for n in root.elements():
+        if n.tag in ("time", "meta", "script"):
+            tags.setdefault(n.tag, []).append(n)
+        for c in dict.fromkeys(n.attrs.get("class", "").split()):
+            classes.setdefault(c, []).append(n)
+    shown = lambda n: n.content().strip()
+
+    for name, c in TEXT_FIELDS.items():
+        out[name] = "".join(n.content() for n in classes[c]).strip() if c in classes else None
     out["is_translation"] = True if out["translation_label"] is not None else None
-    if who := select(root, ".tm-user-info__username"):
-        out["author"], out["author_url"] = who[0].content().strip(), who[0].attrs.get("href")
-    if when := select(root, "time[datetime]"):
-        out["publish_date"], out["publish_date_text"] = when[0].attrs["datetime"], when[0].content().strip()
-    if views := select(root, ".tm-icon-counter__value"):
-        out["views"] = views[0].attrs.get("title") or views[0].content().strip()
+    for who in classes.get(AUTHOR, [])[:1]:
+        out["author"], out["author_url"] = shown(who), who.attrs.get("href")
+    for when in [n for n in tags.get("time", []) if "datetime" in n.attrs][:1]:
+        out["publish_date"], out["publish_date_text"] = when.attrs["datetime"], shown(when)
+    for views in classes.get(VIEWS, [])[:1]:
+        out["views"] = views.attrs.get("title") or shown(views)
     hubs = []
-    for n in select(root, ".tm-publication-hub__link"):
+    for n in classes.get(HUB, []):
         first = n.first("span")
-        hubs.append({"name": first.content().strip() if first is not None else re.sub(r"\s*\*\s*$", "", n.content().strip()), "url": n.attrs.get("href")})
+        hubs.append({"name": shown(first) if first is not None else re.sub(r"\s*\*\s*$", "", shown(n)), "url": n.attrs.get("href")})
     if hubs:
         out["hubs"], out["hub_urls"] = [h["name"] for h in hubs], hubs
-    for n in select(root, 'meta[name="keywords"]')[:1]:
+    for n in [n for n in tags.get("meta", []) if n.attrs.get("name") == "keywords"][:1]:
         out["tags"] = [t.strip() for t in n.attrs.get("content", "").split(",") if t.strip()] or None
-    out["tag_links"] = named(".tm-article-body__tags-item a, .tm-tags-list__link")
-    for n in select(root, ".tm-article-presenter__origin-link")[:1]:
-        out["original_article_url"], out["original_author_text"] = n.attrs.get("href"), n.content().strip()
+    if TAG_LISTS in classes or TAG_LINK in classes:
+        linked = {id(a) for n in classes.get(TAG_LISTS, []) for a in n.find_all("a")} | {id(n) for n in classes.get(TAG_LINK, [])}
+        out["tag_links"] = [{"name": shown(n), "url": n.attrs.get("href")} for n in root.elements() if id(n) in linked] or None
+    for n in classes.get(ORIGIN, [])[:1]:
+        out["original_article_url"], out["original_author_text"] = n.attrs.get("href"), shown(n)
         out["original_authors"] = "".join(s.content() for s in n.find_all("span")).strip() or None
-    for n in select(root, 'script[type="application/ld+json"]')[:1]:
+    for n in [n for n in tags.get("script", []) if n.attrs.get("type") == "application/ld+json"][:1]:
         try:
             data = json.loads(n.content())
             out["date_modified"] = data.get("dateModified")
@@ -98,7 +103,7 @@ PARSED = (
 FIELDS = ("title", "markdown", "text", "headings", "links", "images", "meta_tags", "stylesheets", "figures", "formulas", "tables", "json_ld", "warnings", "metadata")
 
 
-def parsed_page(html: str | None, url: str | None, want: frozenset[str], content: str | None = None, body: str | None = None) -> dict:
+def parsed_page(html: str | None, url: str | None, want: frozenset[str], content: str | None = None, body: str | None = None, clean: bool = False) -> dict:
     out: dict = dict.fromkeys(FIELDS)
     if html is None:
         return out
@@ -132,7 +137,8 @@ def parsed_page(html: str | None, url: str | None, want: frozenset[str], content
         out["tables"] = [table_of(n) for n in root.find_all("table")]
     if "markdown" in want:  # last: its rewrites change the tree
         made = md.render(rewritten(root, html, url, content, body, enhanced=True)).replace("\u00a0", " ")
-        out["markdown"] = re.sub(r"(?: {2,}\n){2,}", "\n\n", made)
+        made = re.sub(r"(?: {2,}\n){2,}", "\n\n", made)
+        out["markdown"] = postprocessed(made) if clean else made
     return out
 
 
@@ -156,16 +162,30 @@ def warnings_of(html: str, root: Node) -> list[str]:
     return said
 
 
-def parse_pages(pages: DataFrame, want: tuple[str, ...] = FIELDS, html_col: str = "html", url_col: str = "url", content: str | None = None, body: str | None = None) -> DataFrame:
-    """``pages`` with a struct ``page`` of the wanted fields, from one parse a page. Fields not asked for are null and cost nothing."""
+#: Inputs of fewer bytes for each core are dealt out before they are parsed.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, of which a file may be one task, dealt to all cores; a large one as it is read, without a shuffle."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate from file sizes; runs nothing
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
+
+
+def parse_pages(pages: DataFrame, want: tuple[str, ...] = FIELDS, html_col: str = "html", url_col: str = "url", content: str | None = None, body: str | None = None, clean: bool = False) -> DataFrame:
+    """``pages`` with a struct ``page`` of the wanted fields, from one parse a page. Fields not asked for are null and cost
+    nothing. ``clean``: Markdown is post-processed in the same call."""
     wanted = frozenset(want)
 
     @F.pandas_udf(PARSED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for html, url in batches:
-            yield pd.DataFrame([parsed_page(h, u, wanted, content, body) for h, u in zip(html, url, strict=True)], columns=list(FIELDS))
+            yield pd.DataFrame([parsed_page(h, u, wanted, content, body, clean) for h, u in zip(html, url, strict=True)], columns=list(FIELDS))
 
-    return pages.withColumn("page", run(F.col(html_col), F.col(url_col)))
+    return spread(pages).withColumn("page", run(F.col(html_col), F.col(url_col)))
 
 
 def _string_udf(f):
@@ -197,8 +217,8 @@ def pretty_html(html: Column) -> Column:
 
 def enhanced_markdown(pages: DataFrame, **options) -> DataFrame:
     """Markdown and metadata of each page, post-processed."""
-    parsed = parse_pages(pages, ("markdown", "metadata"), **options)
-    return parsed.withColumn("markdown", postprocess(F.col("page.markdown"))).withColumn("metadata", F.col("page.metadata")).drop("page")
+    parsed = parse_pages(pages, ("markdown", "metadata"), clean=True, **options)
+    return parsed.withColumn("markdown", F.col("page.markdown")).withColumn("metadata", F.col("page.metadata")).drop("page")
 
 
 def _linked(text: Column, url: Column) -> Column:

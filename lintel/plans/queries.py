@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintel.functions import predicates as P
 from lintel.functions import text as X
 from lintel.functions import urls as U
 from lintel.operators import archive, batch, dialog, frames, images, pages, relational, richdoc, search, verify
+from lintel.sources import receipts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,22 +127,26 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return made.select("page_id", F.length("markdown").alias("n_chars"), F.regexp_count("markdown", F.lit(r"(?m)^#{1,6} ")).alias("n_headings"), F.sha2("markdown", 256).alias("digest"))
 
 
-# The basic converter on pages built in SQL, whose Markdown has a closed form.
+# The basic converter on pages built of all words of a text, whose Markdown has a closed form.
 @query("m1_basic_markdown", f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS w FROM documents)
-SELECT doc_id, '# ' || array_to_string(w[1:3], ' ') || chr(10) || chr(10) || array_to_string(w[4:12], ' ') || ' **' || w[13] || '**' || chr(10) || chr(10) || '-   ' || w[14] || chr(10) || '-   ' || w[15] AS markdown FROM w WHERE len(w) >= 15""")
+WITH w AS (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS w FROM documents)
+SELECT doc_id, md5('# ' || source || CASE WHEN len(w) > 0 THEN chr(10) || chr(10) || array_to_string(w, ' ') || ' **' || w[1] || '**' || chr(10) || chr(10) || array_to_string(list_transform(w, lambda x: '-   ' || x), chr(10)) ELSE '' END) AS digest FROM w""")
 def _basic(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w")).where(F.size("w") >= 15)
-    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    html = F.concat(F.lit("<html><body><h1>"), part(1, 3), F.lit("</h1><p>"), part(4, 9), F.lit(" <b>"), part(13, 1), F.lit("</b></p><ul><li>"), part(14, 1), F.lit("</li><li>"), part(15, 1), F.lit("</li></ul></body></html>"))
-    return w.select("doc_id", pages.to_markdown(html, F.lit(None).cast("string")).alias("markdown"))
+    w = table(spark, d, "documents").select("doc_id", "source", F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
+    items = F.array_join(F.transform("w", lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
+    bold = F.concat(F.lit(" <b>"), F.coalesce(F.get("w", F.lit(0)), F.lit("")), F.lit("</b></p><ul>"))
+    html = F.concat(F.lit("<html><body><h1>"), "source", F.lit("</h1><p>"), F.array_join("w", " "), bold, items, F.lit("</ul></body></html>"))
+    return pages.spread(w).select("doc_id", F.md5(pages.to_markdown(html, F.lit(None).cast("string"))).alias("digest"))
 
 
-@query("t4_pretty_html", "SELECT page_id, CAST(2 + 2 * len(regexp_extract_all(title, '.{1,5}')) AS INTEGER) AS n_lines FROM (SELECT page_id, regexp_extract(html, '<title[^>]*>([\\s\\S]*?)</title>', 1) AS title FROM pages)")
+_TRIMMED = f"regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+@query("t4_pretty_html", f"""
+WITH t AS (SELECT page_id, list_concat(regexp_extract_all(html, '<[^>]+>'), regexp_split_to_array(html, '<[^>]+>')) AS t FROM pages)
+SELECT page_id, CAST(coalesce(list_sum(list_transform(list_filter(t, lambda x: {_TRIMMED} <> ''), lambda x: len(string_split({_TRIMMED}, chr(10))))), 0) AS INTEGER) AS n_lines FROM t""")
 def _pretty(spark: SparkSession, d: str) -> DataFrame:
-    n = F.size(F.regexp_extract_all(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1), F.lit(".{1,5}"), F.lit(0)))
-    html = F.concat(F.lit("<ul>"), F.repeat(F.lit("<br>x"), n), F.lit("</ul>"))
-    return table(spark, d, "pages").select("page_id", F.size(F.split(pages.pretty_html(html), "\n")).alias("n_lines"))
+    return pages.spread(table(spark, d, "pages")).select("page_id", F.size(F.split(pages.pretty_html(h()), "\n")).alias("n_lines"))
 
 
 # ---- text functions ---------------------------------------------------------------------
@@ -230,10 +236,10 @@ url_query("k9_image_quality", _case(3, "-5", "55", "500"), "CASE doc_id % 3 WHEN
 
 
 @query("u17_search_url", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'https://en.wikipedia.org/w/rest.php/v1/search/page?q=' || q || '&limit=7' WHEN 1 THEN 'https://html.duckduckgo.com/html/?q=' || q WHEN 2 THEN 'https://www.google.com/search?q=' || q || '&num=7' WHEN 3 THEN 'https://www.bing.com/search?q=' || q || '&count=7' ELSE 'https://search.brave.com/search?q=' || q END AS url
-FROM (SELECT doc_id, replace(replace(replace(replace(replace(url_encode(text[1:60]), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS q FROM documents)""")
+FROM (SELECT doc_id, replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS q FROM documents)""")
 def _search_url(spark: SparkSession, d: str) -> DataFrame:
     provider = F.element_at(F.lit(list(U.PROVIDERS)), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", U.search_url(provider, F.substring("text", 1, 60), 7).alias("url"))
+    return table(spark, d, "documents").select("doc_id", U.search_url(provider, F.col("text"), 7).alias("url"))
 
 
 @query("s4_receipt_headers", "SELECT doc_id, 'content-type=text/' || lang || ',etag=' || source AS kept FROM documents")
@@ -296,6 +302,147 @@ def _localise(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", F.contains("markdown", F.lit("(images/image-01.png")).alias("first_local"))
 
 
+@query("r4_excluded_hosts", """
+WITH e AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS domain FROM pages WHERE page_id % 40 = 0)
+SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM e WHERE lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]+)', 1)) = domain OR ends_with(lower(regexp_extract(p.url, '^[a-z]+://([^/?#:]+)', 1)), '.' || domain))""")
+def _excluded(spark: SparkSession, d: str) -> DataFrame:
+    refs = table(spark, d, "pages").select("page_id", "url")
+    domains = refs.where("page_id % 40 = 0").select(U.host(F.col("url")).alias("domain"))
+    return images.localisable(refs, domains)
+
+
+@query("r4c_known_images", "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE length(html) % 2 = 0)")
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    refs = table(spark, d, "pages").select("page_id", "url")
+    return images.present_in(refs, table(spark, d, "pages").where(F.length("html") % 2 == 0).select("url")).select("page_id", "url")
+
+
+@query("i4_plan_images", """SELECT doc_id, md5('![' || lang || '](images/image-01.png) ' || t || ' ![](images/image-02.jpg)![x](images/image-03.png)') AS digest,
+  array_to_string(['https://h/' || doc_id || '.png image-01.png', 'https://h/' || source || '.jpg image-02.jpg', 'https://h/' || doc_id || '.png image-03.png'], ',') AS pending
+FROM (SELECT *, replace(text, '!', '') AS t FROM documents)""")
+def _plan_images(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("t", F.replace("text", F.lit("!"), F.lit("")))
+    png = F.concat(F.lit("](https://h/"), "doc_id", F.lit(".png)"))
+    made = docs.withColumn("markdown", F.concat(F.lit("!["), "lang", png, F.lit(" "), "t", F.lit(" ![](https://h/"), "source", F.lit('.jpg "t")![x'), png))
+    out = images.plan_every(made, "doc_id")
+    return out.select("doc_id", F.md5("markdown").alias("digest"), F.array_join(F.transform("pending", lambda x: F.concat(x["url"], F.lit(" "), x["filename"])), ",").alias("pending"))
+
+
+@query("t19_embedded_html", """SELECT page_id, 0 AS ord, 'image-01.png' AS filename, 'image/png' AS mime_type, sha256(html) AS digest FROM pages
+UNION ALL SELECT page_id, 1, 'image-02.jpg', 'image/jpeg', sha256(url) FROM pages""")
+def _embedded_html(spark: SparkSession, d: str) -> DataFrame:
+    data = lambda c: F.base64(F.col(c).cast("binary"))
+    html = F.concat(F.lit('<p><img alt=a src="data:image/png;base64,'), data("html"), F.lit('">x<img src="data:image/jpeg;base64,'), data("url"), F.lit('"></p>'))
+    _, rows = images.embedded_in_html(table(spark, d, "pages").select("page_id", html.alias("html")), "page_id")
+    return rows.select("page_id", "ord", "filename", "mime_type", F.sha2("bytes", 256).alias("digest"))
+
+
+@query("x3_figure_rows", """
+WITH f AS (SELECT page_id, CAST(page_id % 50 AS INTEGER) AS figure_num, url || CASE page_id % 3 WHEN 0 THEN '.jpeg' WHEN 1 THEN '.png' ELSE '' END AS src, length(html) AS n FROM pages),
+r AS (SELECT src, CASE WHEN min(n) % 5 = 0 THEN 404 ELSE 200 END AS status FROM f WHERE n % 2 = 0 GROUP BY src)
+SELECT f.page_id, f.figure_num, 'figure-' || f.figure_num || CASE WHEN contains(f.src, '.jpeg') OR contains(f.src, '.jpg') THEN '.jpg' ELSE '.png' END AS filename, f.src AS original_url,
+  CASE WHEN r.src IS NULL THEN 'not fetched' WHEN r.status = 404 THEN 'HTTP 404' END AS error FROM f LEFT JOIN r ON f.src = r.src""")
+def _figure_rows(spark: SparkSession, d: str) -> DataFrame:
+    src = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".jpeg").when(F.col("page_id") % 3 == 1, ".png").otherwise(""))
+    figures = table(spark, d, "pages").select("page_id", (F.col("page_id") % 50).cast("int").alias("figure_num"), src.alias("src"), F.lit(None).cast("string").alias("caption"), F.length("html").alias("n"))
+    got = figures.where("n % 2 = 0").groupBy(F.col("src").alias("url")).agg(F.min("n").alias("n")).select("url", F.when(F.col("n") % 5 == 0, 404).otherwise(200).alias("status"), F.lit("x").cast("binary").alias("body"))
+    return pages.figure_rows(figures, "page_id", got).select("page_id", "figure_num", "filename", "original_url", "error")
+
+
+_HREF = "nullif(regexp_extract(tag, '\\bhref\\s*=\\s*{}', 1, 'i'), '')"
+_HREFS = ", ".join(_HREF.format(x) for x in ('"([^"]*)"', "\\x27([^\\x27]*)\\x27", "([^\\s\"\\x27=<>`]+)"))
+
+
+@query("t17_attribute", f"""SELECT page_id, nullif(trim(replace(replace(replace(replace(coalesce({_HREFS}), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), '') AS href
+FROM (SELECT page_id, regexp_extract(html, '<a\\s[^>]*>', 0, 'i') AS tag FROM pages)""")
+def _attribute(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", X.attribute(F.regexp_extract("html", r"(?i)<a\s[^>]*>", 0), "href").alias("href"))
+
+
+mapped("t16_empty_titles", "pages", "page_id", """SELECT page_id, md5('<img src="' || url || '">' || regexp_replace(html, '\\stitle\\s*=', ' name=', 'gi') || '<IMG alt="x">') AS digest FROM pages""",
+       digest=lambda: F.md5(X.strip_empty_titles(F.concat(F.lit('<img src="'), "url", F.lit('" title="">'), F.regexp_replace("html", r"(?i)\stitle\s*=", " name="), F.lit("<IMG alt=\"x\"  title = ''>")))))
+
+
+def _chunks() -> Column:
+    return F.split(t(), " ")
+
+
+mapped("c7_model_fingerprint", "documents", "doc_id", "SELECT doc_id, CAST(len(l) AS INTEGER) AS chunks, CAST(list_sum(list_transform(l, lambda x: strlen(x))) AS BIGINT) AS payload_bytes, len(l) % 2 = 0 AS same FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)",
+       chunks=lambda: richdoc.model_fingerprint(_chunks())["chunks"], payload_bytes=lambda: richdoc.model_fingerprint(_chunks())["payload_bytes"],
+       same=lambda: richdoc.same_fingerprint(richdoc.model_fingerprint(_chunks()), richdoc.model_fingerprint(F.when(F.size(_chunks()) % 2 == 0, _chunks()))))
+
+
+@query("a4_animation_options", """SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE 'Invalid `format`: must be "gif" or "png-sequence"' END AS error,
+  CASE WHEN n_chars % 4 = 0 THEN 1024 ELSE n_chars END AS "maxSize", CASE WHEN n_chars % 3 = 0 THEN 0.99 ELSE (n_chars % 100 + 1) / 100.0 END AS similarity, 120 AS "minFrames" FROM documents WHERE lang IS NOT NULL""")
+def _animation_options(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "documents").where("lang is not null").select(
+        "doc_id",
+        F.when(F.col("lang") == "en", "GIF").otherwise(F.col("lang")).alias("format"),
+        F.when(F.col("n_chars") % 4 == 0, "0").otherwise(F.concat("n_chars", F.lit("px"))).alias("maxSize"),
+        F.when(F.col("n_chars") % 3 != 0, F.concat(((F.col("n_chars") % 100 + 1) / 100).cast("string"), F.lit(" of 1"))).alias("similarity"),
+    )
+    return batch.animation_options(asked).select("doc_id", "error", F.col("maxSize").cast("long").alias("maxSize"), "similarity", "minFrames")
+
+
+@query("m14_header_footer", """SELECT doc_id, array_to_string(list_filter(['**Author:** ' || CASE WHEN n_chars % 2 = 0 THEN '[' || source || '](u/' || doc_id || ')' ELSE source END,
+    CASE WHEN n_chars % 3 = 0 THEN '**Type:** Translation' END, '**Views: ' || n_chars || '**', '**Tags:** ' || coalesce(lang || ', ', '') || source], lambda x: x IS NOT NULL), chr(10)) AS header,
+  '---' || chr(10) || chr(10) || '**Tags:** [' || source || '](t)' || chr(10) || chr(10) || '**Votes: ' || doc_id || ' | Views: ' || n_chars || '**' || chr(10) || chr(10)
+    || '**Author:** ' || CASE WHEN n_chars % 2 = 0 THEN '[' || source || '](u/' || doc_id || ')' ELSE source END || chr(10) AS footer
+FROM documents""")
+def _header_footer(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    known = {
+        "author": F.col("source"), "author_url": F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("u/"), "doc_id")), "views": text("n_chars"), "votes": text("doc_id"),
+        "is_translation": F.col("n_chars") % 3 == 0, "tags": F.array_compact(F.array("lang", "source")), "tag_links": F.array(F.struct(F.col("source").alias("name"), F.lit("t").alias("url"))),
+    }
+    fields = T.StructType.fromDDL(pages.METADATA).fields
+    made = table(spark, d, "documents").select("doc_id", F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).alias("metadata"))
+    return made.select("doc_id", F.array_join(pages.metadata_header(), "\n").alias("header"), F.array_join(pages.metadata_footer(), "\n").alias("footer"))
+
+
+@query("s1_routes", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'drive_image' WHEN 1 THEN 'question' ELSE 'page' END AS route,
+  CASE doc_id % 3 WHEN 0 THEN 'https://drive.usercontent.google.com/download?id=' || sha256(text)[1:30] || '&export=view&authuser=0'
+    WHEN 1 THEN 'https://www.stackprinter.com/export?question=' || n_chars || '&format=HTML&language=en&printer=false&service=stackoverflow&width=640' ELSE 'https://e.com/' || n_chars END AS fetch_url FROM documents""")
+def _routes(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("doc_id") % 3
+    drive = F.concat(F.lit("https://drive.google.com/file/d/"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 30), F.lit("/view"))
+    url = F.when(kind == 0, drive).when(kind == 1, F.concat(F.lit("https://stackoverflow.com/questions/"), "n_chars", F.lit("/a-title"))).otherwise(F.concat(F.lit("https://e.com/"), "n_chars"))
+    return receipts.routed(table(spark, d, "documents").select("doc_id", url.alias("url"))).select("doc_id", "route", "fetch_url")
+
+
+@query("s6_decoded_text", "SELECT page_id, md5(html) AS digest FROM pages WHERE page_id % 4 <> 3")
+def _decoded(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("page_id") % 4
+    wide = F.concat(F.unhex(F.lit("FEFF")), F.encode("html", "UTF-16BE"))
+    made = table(spark, d, "pages").select(
+        "page_id",
+        F.create_map(F.lit("content-type"), F.when(kind == 1, "text/html; charset=utf-16").when(kind == 3, "image/png").otherwise("Text/HTML")).alias("headers"),
+        F.when(kind == 1, wide).otherwise(F.col("html").cast("binary")).alias("body"),
+    )
+    return receipts.text_only(made).select("page_id", F.md5("text").alias("digest"))
+
+
+@query("m3_tables", """SELECT doc_id, CAST(1 + len(w) AS INTEGER) AS n_rows, md5('| n | word |' || chr(10) || '| --- | --- |' || array_to_string(list_transform(w, lambda x, i: chr(10) || '| ' || i || ' | ' || x || ' |'), '')) AS digest
+FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM documents)""")
+def _tables(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda x, i: F.concat(F.lit("<tr><td>"), (i + 1).cast("string"), F.lit("<td>"), x))
+    html = F.concat(F.lit("<table><tr><th>n<th>word"), F.array_join(rows, ""), F.lit("</table>"))
+    made = pages.parse_pages(table(spark, d, "documents").select("doc_id", html.alias("html"), F.lit(None).cast("string").alias("url")), ("tables",))
+    return made.select("doc_id", F.get("page.tables", F.lit(0)).alias("t")).select("doc_id", "t.n_rows", F.md5("t.markdown").alias("digest"))
+
+
+@query("k4_archive_entries", """
+SELECT page_id, 'document.html' AS path FROM pages UNION ALL SELECT page_id, 'images/image-1.jpg' FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 'images/image-2.png' FROM pages UNION ALL SELECT page_id, 'css/style-1.css' FROM pages WHERE page_id % 2 = 0""")
+def _archive_entries(spark: SparkSession, d: str) -> DataFrame:
+    html = F.concat(F.lit('<link rel="stylesheet" href="/'), "page_id", F.lit('.css"><img src="'), "page_id", F.lit('.jpeg?x"><img src="k"><img src="/d/'), "page_id", F.lit('.jpeg?x">'))
+    rows = table(spark, d, "pages").select("page_id", F.lit("https://h.org/d/").alias("url"), html.alias("html"))
+    own = F.array(F.concat(F.lit("https://h.org/"), "page_id", F.lit(".css")), F.concat(F.lit("https://h.org/d/"), "page_id", F.lit(".jpeg?x")))
+    got = rows.where("page_id % 2 = 0").select(F.explode(own).alias("url")).unionByName(spark.range(1).select(F.lit("https://h.org/d/k").alias("url")))
+    bodies = got.select("url", F.lit(200).alias("status"), F.lit("x").cast("binary").alias("body"))
+    return archive.archive_entries(rows, "page_id", bodies, document="html").select("page_id", "path")
+
+
 # ---- documents: lines, samples, verification ------------------------------------------------
 
 _LINES = "SELECT doc_id, unnest(l) AS line, CAST(unnest(range(len(l))) AS INTEGER) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
