@@ -126,56 +126,35 @@ class _Model:
         }
 
 
-class _Table:
-    """Cells collect until a control code closes them. A line end closes a cell, ROW a row, END the table."""
-
-    def __init__(self) -> None:
-        self.rows: list[list[list[dict]]] = []
-        self.row: list[list[dict]] | None = None
-        self.cell: list[dict] | None = None
-        self.last, self.swallow = TABLE, False
-
-    def add(self, node: dict) -> None:
-        self.row = [] if self.row is None else self.row
-        self.cell = [] if self.cell is None else self.cell
-        self.cell.append(node)
-        self.last, self.swallow = "", False
-
-    def close_cell(self, keep_blank: bool = True) -> None:
-        if self.cell is not None and self.row is not None and (keep_blank or not is_blank(self.cell)):
-            self.row.append(merged(self.cell))
-        self.cell = None
-
-    def close_row(self) -> None:
-        self.close_cell(keep_blank=False)
-        if self.row is not None:
-            self.rows.append(self.row)
-        self.row = None
-
-    def control(self, code: str, following: str) -> None:
-        if code == ROW:
-            self.close_row()
-            self.row, self.swallow = [], False
+#: What ends a cell, as letters for CELL and BREAK: after a cell with something in it a CELL takes the line end that follows
+#: with it; a line end takes the CELL that follows.
+_ENDS = {True: re.compile("CBC?|BC?|C"), False: re.compile("BC?|C")}
+
+
+def table_of(tokens: list[dict | str]) -> dict:
+    """A table from its nodes and control codes. ROW ends a row, with a last cell only if something is in it; a cell's end
+    begins the next cell; blank rows at the end go."""
+    letters = {ROW: "R", CELL: "C", BREAK: "B"}
+    shape = "".join("x" if isinstance(t, dict) else letters[t] for t in tokens) + "R"
+    rows: list[list[list[dict]]] = []
+    row: list[list[dict]] | None = None
+    cell: list[dict] | None = None
+    at = 0
+    while at < len(shape):
+        filled = cell is not None and not is_blank(cell)
+        if shape[at] == "R":
+            if row is not None:
+                rows.append([*row, merged(cell)] if filled else row)
+            row, cell, step = [], None, 1
+        elif shape[at] == "x":
+            row, cell, step = row or [], [*(cell or []), tokens[at]], 1
         else:
-            if code == BREAK and self.swallow:
-                self.last, self.swallow = code, False
-                return
-            blank = self.cell is None or is_blank(self.cell)
-            if code == CELL and blank and self.last == BREAK:  # the line end has already closed this cell
-                self.last = code
-                return
-            self.close_cell()
-            self.row = [] if self.row is None else self.row
-            self.cell = []
-            if code == CELL and not blank and following == BREAK:
-                self.swallow = True
-        self.last = code
-
-    def done(self) -> dict:
-        self.close_row()
-        while len(self.rows) > 1 and all(map(is_blank, self.rows[-1])):
-            self.rows.pop()
-        return {"type": "table", "rows": [{"cells": [{"content": c} for c in r]} for r in self.rows]}
+            row = [*(row or []), *([merged(cell)] if cell is not None else [])]
+            cell, step = [], _ENDS[filled].match(shape, at).end() - at
+        at += step
+    while len(rows) > 1 and all(map(is_blank, rows[-1])):
+        rows.pop()
+    return {"type": "table", "rows": [{"cells": [{"content": c} for c in r]} for r in rows]}
 
 
 def model_blocks(chunks: list, cids: dict[str, str] | None = None, hints: list[dict] | None = None) -> list[dict]:
@@ -183,7 +162,7 @@ def model_blocks(chunks: list, cids: dict[str, str] | None = None, hints: list[d
     m = _Model(model_items(chunks), cids or {})
     blocks: list[dict] = []
     open_: list[dict] = []
-    table: _Table | None = None
+    table: list[dict | str] | None = None
 
     def settle(end: int) -> None:
         content = merged(open_)
@@ -194,17 +173,17 @@ def model_blocks(chunks: list, cids: dict[str, str] | None = None, hints: list[d
     for k, unit in enumerate(m.units):
         if unit == TABLE:
             settle(k + 1)
-            table = _Table()
+            table = []
         elif unit == END:
             if table is not None:
-                blocks.append(table.done())
+                blocks.append(table_of(table))
             table = None
         elif unit in (ROW, CELL, BREAK) and table is not None:
-            table.control(unit, m.units[k + 1] if k + 1 < len(m.units) else "")
+            table.append(unit)
         elif unit == BREAK:
             settle(k + 1)
         elif unit not in (ROW, CELL):
-            put: Callable[[dict], None] = table.add if table is not None else open_.append
+            put: Callable[[dict], None] = table.append if table is not None else open_.append
             if k in m.images:
                 put(m.images[k])
                 if unit == "*":
@@ -212,7 +191,7 @@ def model_blocks(chunks: list, cids: dict[str, str] | None = None, hints: list[d
             if unit:
                 put(run_of("\n") if unit == SOFT else run_of(unit, m.look[k]))
     if table is not None:
-        blocks.append(table.done())
+        blocks.append(table_of(table))
     settle(len(m.units))
     return hinted(blocks, hints) if hints else blocks
 
@@ -347,27 +326,32 @@ def _paragraph_markdown(b: dict, number: int) -> str:
     return re.sub(r"(?m)^(?=.)", "> ", text).replace("\n\n", "\n>\n") if b.get("quote") else text
 
 
-def blocks_markdown(blocks: list[dict]) -> str:
-    """Lists count for each list and level; anything between, or a shallower item, starts deeper counts anew."""
-    out, before = "", None
-    counts: dict[tuple, int] = {}
+def item_numbers(blocks: list[dict]) -> list[int | None]:
+    """The number of each list item: how many of its list and level came since something else, or a shallower item, stood between."""
+    out: list[int | None] = []
+    seen: list[tuple[int, str]] = []  # level and list of the items that still count
     for b in blocks:
         own = b.get("list") if b["type"] == "paragraph" else None
-        if own:
-            counts = {k: v for k, v in counts.items() if k[1] <= own["level"]}
-            key = (own.get("id") or "", own["level"])
-            counts[key] = counts.get(key, 0) + 1
-            text = _paragraph_markdown(b, counts[key])
+        if own is None:
+            seen = []
+            out.append(None)
         else:
-            counts = {}
-            text = _table_markdown(b) if b["type"] == "table" else _paragraph_markdown(b, 1)
-        if not text:
-            continue
-        quoted = bool(b.get("quote"))
-        if before:
-            out += "\n" if own and before[0] else "\n>\n" if quoted and before[1] else "\n\n"
-        out, before = out + text, (bool(own), quoted)
-    out = out.rstrip()
+            here = (own["level"], own.get("id") or "")
+            seen = [x for x in seen if x[0] <= here[0]] + [here]
+            out.append(seen.count(here))
+    return out
+
+
+def blocks_markdown(blocks: list[dict]) -> str:
+    """Blocks a blank line apart; items of lists follow each other, and so do quotes, by an empty quoted line."""
+    shown = []
+    for b, number in zip(blocks, item_numbers(blocks), strict=True):
+        text = _table_markdown(b) if b["type"] == "table" else _paragraph_markdown(b, number or 1)
+        if text:
+            shown.append(("item" if number else "quote" if b.get("quote") else "", text))
+    apart = {("item", "item"): "\n", ("quote", "quote"): "\n>\n"}
+    pieces = [text if not k else apart.get((shown[k - 1][0], kind), "\n\n") + text for k, (kind, text) in enumerate(shown)]
+    out = "".join(pieces).rstrip()
     return out + "\n" if out else ""
 
 
@@ -423,21 +407,27 @@ def class_styles(html: str) -> dict[str, str]:
     return out
 
 
+def declared(style: str, name: str) -> list[str]:
+    """The values that a style declares for a property, or for those that begin with it and a hyphen, in order."""
+    pairs = [x.partition(":") for x in style.split(";")]
+    return [v.strip() for k, _, v in pairs if k.strip() == name or k.strip().startswith(name + "-")]
+
+
 def points(style: str, name: str) -> float:
-    found = re.findall(rf"(?:^|;)\s*{name}\s*:\s*(-?[\d.]+)pt", style)
+    found = [m[1] for v in declared(style, name) if (m := re.match(r"(-?[\d.]+)pt", v))]
     return float(found[-1]) if found else 0.0
 
 
 def is_bold(style: str) -> bool:
-    return re.search(r"font-weight\s*:\s*(?:bold|[6-9]\d\d)", style) is not None
+    return any(v.startswith("bold") or v[:1] in "6789" and v[:3].isdigit() and len(v) >= 3 for v in declared(style, "font-weight"))
 
 
 def is_italic(style: str) -> bool:
-    return re.search(r"font-style\s*:\s*italic", style) is not None
+    return any(v.startswith("italic") for v in declared(style, "font-style"))
 
 
 def is_struck(style: str) -> bool:
-    return re.search(r"text-decoration[^:]*:[^;]*line-through", style) is not None
+    return any("line-through" in v for v in declared(style, "text-decoration"))
 
 
 def list_level(margin: float) -> int:
