@@ -3,7 +3,7 @@
 ``fingerprint`` hashes the sorted nested field paths of a schema. The hash picks a
 declarative mapping (which paths hold prompt, answer, message list, role and text),
 so prompt, instruction, message and turn-per-row layouts all become canonical turns
-``array<struct<role, text>>``. ``render`` then writes one marked-up string per
+``array<struct<role, text>>``: a table's by its schema, JSON records' row by row. ``render`` then writes one marked-up string per
 conversation, as runs of text with a loss flag; ``parse`` reads the turns back.
 
 Template, one line for each turn: ``<turn>### role: text</turn>``. Inside a role or
@@ -124,6 +124,45 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return rows.groupBy(id_col).agg(sorted_turns.cast(f"array<{TURN}>").alias("turns"))
 
 
+# ---- records whose layouts differ from row to row ------------------------------------------------
+
+#: Fields of the layouts, as a record's JSON may hold them; absent ones are null.
+_RECORD = T.StructType(
+    [*[T.StructField(x, T.StringType()) for x in ("prompt", "response", "completion", "question", "answer", "system", "instruction", "input", "output")]]
+    + [T.StructField(name, T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in keys]))) for name, keys in (("messages", ("role", "content")), ("conversations", ("from", "value")), ("turns", ("role", "text")))]
+)
+
+
+def record_paths(record: Column) -> Column:
+    """The field paths of a JSON record, sorted, as ``field_paths`` writes them: its keys, and those of the objects in its lists."""
+    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    lists = [f.name for f in _RECORD if isinstance(f.dataType, T.ArrayType)]
+
+    def below(name: str) -> Column:
+        elements = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+        inner = F.flatten(F.transform(elements, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
+        return F.transform(F.coalesce(inner, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    flat = F.filter(keys, lambda k: ~k.isin(lists))
+    return F.array_sort(F.array_distinct(F.concat(flat, *[below(x) for x in lists])))
+
+
+def record_fingerprint(record: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(record_paths(record), "\n").cast("binary"), 256), 1, 16)
+
+
+def mixed_turns(df: DataFrame, record_col: str, id_col: str = "conv_id") -> DataFrame:
+    """(id, layout, turns) from JSON records of any layouts, each row by its own fingerprint. A record of no known layout, or
+    that is no JSON object, has a null layout and no turns."""
+    known = {k: name for k, name in BY_FINGERPRINT.items() if LAYOUTS[name][1] is not None}
+    layout = F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), record_fingerprint(F.col(record_col)))
+    read = df.select(F.col(id_col).alias("__lx_id"), layout.alias("layout"), F.from_json(F.col(record_col), _RECORD).alias("r")).select("__lx_id", "layout", "r.*")
+    turns = F.lit(None).cast(f"array<{TURN}>")
+    for name in known.values():
+        turns = F.when(F.col("layout") == name, LAYOUTS[name][1]()).otherwise(turns)
+    return read.select(F.col("__lx_id").alias(id_col), "layout", F.coalesce(turns, F.array().cast(f"array<{TURN}>")).alias("turns"))
+
+
 def escape(c: Column, role: bool = False) -> Column:
     out = F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l")), F.lit("#"), F.lit("\\h"))
     return F.replace(out, F.lit(":"), F.lit("\\c")) if role else out

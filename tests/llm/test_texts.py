@@ -178,6 +178,35 @@ def test_chat_layouts(spark, schema, row, turns):
     assert [(t["role"], t["text"]) for t in made["turns"]] == turns
 
 
+def test_chat_of_records_with_mixed_layouts(spark):
+    import json
+
+    records = [
+        {"prompt": "p", "response": "r"}, {"completion": "c", "prompt": None}, {"question": "q", "answer": "a"}, {"system": "", "prompt": "p", "response": "r"},
+        {"instruction": "i", "input": "", "output": "o"}, {"instruction": "i", "output": "o"}, {"messages": [{"role": "human", "content": "x"}, {"content": "y", "role": "gpt"}]},
+        {"conversations": [{"from": "human", "value": "x"}]}, {"turns": [{"role": "user", "text": "é"}, {"role": "model", "text": None}]}, {"prompt": "p"}, [], {"messages": []}, {"Prompt": "p", "Response": "r"},
+    ]
+    texts = [json.dumps(x) for x in records] + ["{", None, "1"]
+    got = {r["conv_id"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in chat.mixed_turns(spark.createDataFrame(list(enumerate(texts)), "conv_id long, j string"), "j").collect()}
+    want = [
+        ("prompt_response", [("user", "p"), ("assistant", "r")]), ("prompt_completion", [("user", ""), ("assistant", "c")]), ("question_answer", [("user", "q"), ("assistant", "a")]),
+        ("system_prompt_response", [("user", "p"), ("assistant", "r")]), ("instruction_input_output", [("user", "i"), ("assistant", "o")]), ("instruction_output", [("user", "i"), ("assistant", "o")]),
+        ("messages", [("user", "x"), ("assistant", "y")]), ("conversations", [("user", "x")]), ("turns", [("user", "é"), ("assistant", "")]),
+    ]
+    assert [got[k] for k in range(9)] == want and all(got[k] == (None, []) for k in range(9, len(texts)))
+
+
+def test_chat_of_very_long_and_of_no_texts(spark, nothing):
+    df = spark.createDataFrame([(1, 0, "user", "x<#\\" * 100_000), (1, 1, "assistant", "y " * 200_000)], "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df).withColumn("read", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments"))).first()
+    assert out["read"][0]["text"] == "x<#\\" * 100_000 and out["loss"] == "y " * 200_000
+    assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_license_scan_of_an_empty_table(nothing):
+    assert licenses.license_scan(nothing).count() == 0
+
+
 def test_chat_of_an_unknown_layout(spark):
     with pytest.raises(ValueError, match="no layout"):
         chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, y string"))
