@@ -42,10 +42,6 @@ def origin(url: Column) -> Column:
     return F.regexp_extract(url, r"(?i)^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
 
 
-#: Characters that a URL path keeps, besides letters and digits.
-_KEPT = "/,.'!()*:@&=+$;~-_%"
-
-
 def resolve_root_relative(ref: Column, base: Column) -> Column:
     """Origin and percent-encoded path for a reference that begins with one slash; else null."""
     encoded = F.replace(F.url_encode(ref), F.lit("+"), F.lit("%20"))
@@ -118,6 +114,7 @@ def image_type_extension(value: Column) -> Column:
 # ---- pages of known kinds ---------------------------------------------------------------
 
 
+# The hosts of questions, their print view, text pastes, and shared dialogs, here and below.
 def question_id(url: Column) -> Column:
     return F.when(bare_host(url) == "stackoverflow.com", found(path(url), r"^/questions/(\d+)(?:/|$)"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
 from urllib.parse import parse_qs, urlsplit
 
@@ -43,7 +41,7 @@ def html_results(provider: str, body: str | None, k: int) -> list[dict]:
     first = lambda n, s: next(iter(select(n, s)), None)
     for block in blocks:
         a = first(block, link)
-        if a is None or any(r["url"] == a.attrs.get("href") for r in out):
+        if a is None:
             continue
         name = _squeezed(first(block, title)) or (_squeezed(a) if provider == "brave" else "")
         url = a.attrs.get("href", "")
@@ -105,7 +103,3 @@ def results_markdown(query: Column, provider: Column, results: Column) -> Column
     lines = F.transform(results, lambda r: F.concat(r["rank"].cast("string"), F.lit(". ["), r["title"], F.lit("]("), r["url"], F.lit(")"), F.when(r["snippet"] != "", F.concat(F.lit("\n   "), r["snippet"])).otherwise("")))
     head = F.concat(F.lit("# Search results: "), query, F.lit("\n\nProvider: "), provider, F.lit("\n\n"))
     return F.concat(head, F.when(F.size(results) > 0, F.array_join(lines, "\n")).otherwise("No results."), F.lit("\n"))
-
-
-def unescaped(text: str) -> str:
-    return re.sub(r"\s+", " ", html.unescape(text)).strip()

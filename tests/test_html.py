@@ -16,12 +16,13 @@ from lintel.operators import pages, richdoc
         ("<h1>A</h1><p>b <b>c</b> <i>d</i></p>", "# A\n\nb **c** *d*"),
         ("<a href='/x'> </a><h2> </h2><h3>kept</h3>", "### kept"),
         ("<ul><li>a<li>b</ul>", "-   a\n-   b"),
-        ("<ol><li>x<li>y</ol><p>t</p><ol><li>z</ol><ol start=13><li>q</ol>", "1.  x\n2.  y\n\nt\n\n3.  z\n\n13.  q"),
+        ("<ol><li>x<li>y</ol><p>t</p><ol><li>z</ol><ol start=40><li>q</ol>", "1.  x\n2.  y\n\nt\n\n3.  z\n\n40.  q"),
         ("<table><tr><th>A<th>B<tr><td>1<td>2</table>", "| A | B |\n| --- | --- |\n| 1 | 2 |"),
         ("<table><tr><td></td><td></td></tr><tr><td></td><td></td></tr></table>", "|  |  |\n| --- | --- |\n|  |  |\n|  |  |"),
         ("<div role=table><div role=rowgroup><div role=row><span role=columnheader>H</span></div></div><div role=rowgroup><div role=row><span role=cell>c</span></div></div></div>", "| H |\n| --- |\n| c |"),
-        ("<ol><li><h4>13. Foo</h4></li></ol>", "13.  #### Foo"),
-        ("<h5>13.1 Bar</h5>", "**13.1 Bar**"),
+        ("<ol><li><h2> 7.  Methods <i>x</i></h2></li></ol><ol><li>next", "7.  ## Methods *x*\n    \n\n8.  next"),
+        ("<h3>2.10 On <code>y</code></h3><p>z", "**2.10 On `y`**\n\nz"),
+        ("<ul><li><ol><li>a</ol></ul><ol><li>b</ol>", "-   1.  a\n\n1.  b"),
         ("<p>a<br><br>b</p>", "a\n\nb"),
         ("<p><span>a <b>b<br></b></span>c</p>", "a **b**  \nc"),
         ("<pre><code class='language-py'>x\n y</code></pre>", "```py\nx\n y\n```"),
