@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Defined results: rows are judged one by one, so repeated ids and null ids do no harm. A null or empty text is toxic only if
+the classifier scores an empty text so, a copy of all other empty texts (the row of the largest id stays), near to nothing,
+never contaminated, and mixed by its domain's prior. Of equal rows one stays. Empty tables go through empty; without labels
+no row is toxic and every rate is 1; without benchmark items nothing is contaminated. Texts of any length are taken whole.
+Columns of the table are kept as they are; the last stage adds n_tokens, domain, domain_weight and rate.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from lintel.llm.common import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents at or over their language's threshold go."""
+    """Operator 6: documents at or over their language's threshold go; a null language has the common one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs.withColumnRenamed("score", "__lx_score"), model)
     own = [F.col("__lx_score").alias(c) if c == "score" else F.col(c) for c in docs.columns]
@@ -18,12 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of equal texts the one of the largest doc_id stays."""
+    """Operator 9: of equal texts (A-Z lower-cased, null as empty) the one of the largest doc_id stays; null ids come last."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each component of near copies the one of the smallest doc_id stays."""
+    """Operator 1: of each component of near copies the one of the smallest doc_id stays; null ids come last."""
     return ngram_join.drop_near_copies(docs)
 
 
@@ -33,7 +40,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: every document with its rate; those of rate 0 go."""
+    """Operator 7: every document with its rate; those of rate 0, which no mix draws, go."""
     return mixing.mixed(docs, table(spark, sf_dir, "labels")).where("rate > 0")
 
 
