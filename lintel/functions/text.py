@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -229,22 +231,6 @@ def normalize_export_markdown(c: Column) -> Column:
     return chain(c, (r"\\([.!()\[\]])", "$1"), (r"(^|[^\w~])~([^~\n]+)~(?=$|[^\w~])", "$1~~$2~~"), (r"\n{3,}", "\n\n"))
 
 
-def normalize_export_markdown_full(c: Column) -> Column:
-    """Full mode: also setext headings, heading and bullet marks, and spacing of lists, quotes and tables."""
-    steps = [
-        (r"\\([.!()\[\]\-+#])", "$1"),
-        (r"(?m)^([^\n#>\-*|][^\n]*)\n=+[ \t]*$", "# $1"),
-        (r"(?m)^([^\n#>\-*|][^\n]*)\n-{2,}[ \t]*$", "## $1"),
-        (r"(?m)^(#{1,6})[ \t]*([^#\s][^\n]*?)[ \t]*#*[ \t]*$", "$1 $2"),
-        (r"(?m)^([ \t]*)\*[ \t]+", "$1- "),
-        (r"(?m)^([^\n\-\d>| \t][^\n]*)\n(?=(?:- |\d+\. |> |\|))", "$1\n\n"),
-        (r"(?m)^((?:- |\d+\. )[^\n]*)\n(?=[^\n\-\d> \t])", "$1\n\n"),
-        (r"(?m)^(> ?[^\n]*)\n(?=[^\n>])", "$1\n\n"),
-        (r"\n{3,}", "\n\n"),
-    ]
-    return chain(c, *steps)
-
-
 # ---- line machines, in Arrow batches -------------------------------------------------
 
 # Letters (Latin and Russian) and signs that a mark is set off from, on its left and on its right; a formula
@@ -336,3 +322,84 @@ def double_backslashes(c: Column) -> Column:
         return s.map(lambda t: None if t is None else re.sub(r"\$[^$]+\$", fix, t))
 
     return F.pandas_udf(run, "string")(c)
+
+
+# ---- export Markdown, full mode: a pipeline of lines --------------------------------------------
+
+# What is an item of a list, a heading, its closing marks, a starred item, a table's rule.
+_ITEM, _HEADING, _CLOSING = re.compile(r"\s*(?:[-+*]|\d+\.)\s+"), re.compile(r"(#{1,6})\s+(.+?)\s*$"), re.compile(r"\s+#{1,6}$")
+_STARRED, _RULE = re.compile(r"(\s*)\* "), re.compile(r":?-{3,}:?")
+UNDERLINES = {"=": "#", "-": "##"}
+
+
+def _underlined(lines: list[str]) -> Iterator[str]:
+    """Lines over five or more equal or minus signs become headings; a line so used is no heading's text."""
+    rest = iter([*zip(lines, [*lines[1:], ""], strict=True)])
+    for line, below in rest:
+        mark = below.strip()
+        if len(mark) >= 5 and mark[0] in UNDERLINES and not mark.strip(mark[0]):
+            next(rest)
+            yield f"{UNDERLINES[mark[0]]} {line.strip()}"
+        else:
+            yield line
+
+
+def _heading(line: str) -> str:
+    found = _HEADING.match(line)
+    if not found:
+        return line
+    text = _CLOSING.sub("", found[2].strip()).strip()
+    stars = next((n for n in (3, 2, 1) if len(text) > 2 * n and text.startswith("*" * n) and text.endswith("*" * n)), 0)
+    return f"{found[1]} {text[stars : len(text) - stars].strip()}"
+
+
+def _close_items(lines: list[str]) -> Iterator[str]:
+    """No blank lines from one list item to the next."""
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    blanks = set(range(len(lines))) - set(full)
+    for a, b in zip(full, full[1:], strict=False):
+        if b - a > 1 and _ITEM.match(lines[a]) and _ITEM.match(lines[b]):
+            blanks.difference_update(range(a + 1, b))
+    return (x for k, x in enumerate(lines) if x.strip() or k in blanks)
+
+
+def _quotes(lines: Iterable[str]) -> Iterator[str]:
+    """Gaps within a quote are one empty quoted line; an empty line follows it."""
+    inside = gap = False
+    for line in lines:
+        bare = line.strip()
+        if bare == ">" or (inside and not bare):
+            gap = gap or inside
+        elif line.startswith("> "):
+            yield from [">", line] if gap else [line]
+            inside, gap = True, False
+        else:
+            yield from ["", line] if inside else [line]
+            inside = gap = False
+
+
+def _tables(lines: Iterable[str]) -> Iterator[str]:
+    """Rows of tables (with a rule below the first) with one space around each cell."""
+    cells = lambda x: [c.strip() for c in x.strip().strip("|").split("|")]
+    is_row = lambda x: len(y := x.strip()) > 1 and y[0] == y[-1] == "|"
+    for row, block in groupby(lines, is_row):
+        held = list(block)
+        if row and len(held) > 1 and all(map(_RULE.fullmatch, cells(held[1]))):
+            held = [f"| {' | '.join(['---'] * len(cells(x)) if k == 1 else cells(x))} |" for k, x in enumerate(held)]
+        yield from held
+
+
+def export_markdown(text: str) -> str:
+    text = re.sub(r"\\([.!()\[\]])", r"\1", text)
+    lines = [_STARRED.sub(r"\1- ", _heading(x), count=1) if _STARRED.match(_heading(x)) else _heading(x) for x in _underlined(text.replace("\r\n", "\n").split("\n"))]
+    text = "\n".join(_tables(_quotes(_close_items(lines))))
+    return re.sub(r"\n{3,}", "\n\n", text).strip() + "\n"
+
+
+def normalize_export_markdown_full(c: Column) -> Column:
+    """Full mode: underlined and numbered headings, items, quotes and tables in one form."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else export_markdown(t))
+
+    return F.pandas_udf(run, "string")(c)

@@ -242,3 +242,8 @@ def as_html(markdown: Column, title: Column) -> Column:
 def extension(fmt: Column) -> Column:
     low = F.lower(fmt)
     return F.when(low.isin("markdown", "md"), "md").when(low.isin("txt", "text"), "txt").when(low == "html", "html").when(low.isin("meta-language", "meta_language", "demo-memory", "demo_memory"), "lino").otherwise("json")
+
+
+def as_json(**fields: Column) -> Column:
+    """A capture as indented JSON; unknown fields are null."""
+    return F.concat(F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]), {"pretty": "true", "ignoreNullFields": "false"}), F.lit("\n"))

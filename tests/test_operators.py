@@ -247,6 +247,39 @@ def test_further_functions(spark, f, given, want):
     value(spark, f(F.lit(None).cast("string")))
 
 
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("Title\n=====\ntext\n-----\n=======", "# Title\n## text\n=======\n"),
+        ("## **a \\(b\\)** ##\n###   *c*\n#no", "## a (b)\n### c\n#no\n"),
+        ("* a\n\n\n  * b\n\n1. c\n\ntext\n\n+ d", "- a\n  - b\n1. c\n\ntext\n\n+ d\n"),
+        ("> a\n\n>\n> b\n>\nafter\n>\nend", "> a\n>\n> b\n\nafter\nend\n"),
+        ("|a|b |\n|:---|---|\n| 1|2|3\n|x|y|\n\n|no\n|rule|", "| a | b |\n| --- | --- |\n| 1|2|3\n|x|y|\n\n|no\n|rule|\n"),
+        ("|a|\n|:---:|\n|  c |", "| a |\n| --- |\n| c |\n"),
+        ("", "\n"),
+    ],
+)
+def test_export_markdown(given, want):
+    assert X.export_markdown(given) == want
+
+
+def test_documents_from_receipts(spark):
+    from lintel.operators import richdoc
+
+    url = "https://docs.google.com/document/d/abcDEF_1234567890/edit"
+    docs = spark.createDataFrame([(1, url), (2, "https://e.com/x"), (3, url.replace("abc", "xyz"))], "n long, url string")
+    made = docs.select(U.document_export_url(U.document_id(F.col("url")), "md").alias("url")).first()["url"]
+    receipts = spark.createDataFrame([(made, 200, "a &amp; b".encode()), (made.replace("abc", "xyz"), 403, b"")], "url string, status int, body binary")
+    got = {r["n"]: r for r in richdoc.exports(docs, receipts, "md").collect()}
+    assert got[1]["content"] == "a & b" and got[1]["error"] is None and got[1]["format"] == "md" and "403" in got[3]["error"] and got[2]["error"].endswith("https://e.com/x")
+    assert {r["error"] is None for r in richdoc.api_documents(docs, receipts).collect()} == {False}
+
+
+def test_dialog_as_json(spark):
+    made = value(spark, dialog.as_json(title=F.lit("t"), status=F.lit(None).cast("string"), turns=F.array(F.struct(F.lit("1").alias("id")))))
+    assert json.loads(made) == {"title": "t", "status": None, "turns": [{"id": "1"}]} and made.endswith("}\n") and "\n  " in made
+
+
 def test_options(spark):
     asked = spark.createDataFrame([("GIF", "12px", "0", "true"), ("bmp", "x", ".5", None), (None, None, None, "TRUE")], "format string, maxSize string, similarity string, extractKeyframes string")
     got = [(r["error"] is None, r["format"], r["maxSize"], r["similarity"], r["minFrames"], r["extractKeyframes"]) for r in batch.animation_options(asked).collect()]
