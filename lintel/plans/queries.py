@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lintel.functions import predicates as P
 from lintel.functions import text as X
 from lintel.functions import urls as U
-from lintel.operators import archive, batch, dialog, frames, images, pages, relational, richdoc, search, verify
+from lintel.operators import archive, batch, dialog, frames, images, pages, relational, repo, richdoc, search, verify
 from lintel.sources import receipts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,6 +443,76 @@ def _archive_entries(spark: SparkSession, d: str) -> DataFrame:
     return archive.archive_entries(rows, "page_id", bodies, document="html").select("page_id", "path")
 
 
+# ---- operators on inputs that vary with the row --------------------------------------------------
+
+_PLAIN = "regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')"
+
+
+def _plain() -> Column:
+    return F.regexp_replace("text", "[^A-Za-z0-9]+", " ")
+
+
+mapped("t1_absolutise", "documents", "doc_id", f"""SELECT doc_id, md5('<a href="https://h' || doc_id % 7 || '.org/x/' || doc_id || '">' || {_PLAIN} || '</a><img src="https://h' || doc_id % 7 || '.org/a/' || source || '.png"><!-- <a href="https://h' || doc_id % 7 || '.org/a/b"> --><i style="background:url("https://h' || doc_id % 7 || '.org/k")">') AS digest FROM documents""",
+       digest=lambda: F.md5(pages.absolute_html(F.concat(F.lit('<a href="/x/'), "doc_id", F.lit('">'), _plain(), F.lit('</a><img src="'), "source", F.lit('.png"><!-- <a href="b"> --><i style="background:url(/k)">')), F.concat(F.lit("https://h"), F.col("doc_id") % 7, F.lit(".org/a/p?q")))))
+
+
+@query("t5_page_rewrites", f"""
+SELECT doc_id, md5('### ' || source || chr(10) || chr(10) || trim({_PLAIN}) || CASE WHEN trim({_PLAIN}) = '' THEN '' ELSE chr(10) || chr(10) END
+  || array_to_string(list_transform(range(1, CAST(doc_id % 4 + 2 AS BIGINT)), lambda i: i || '.  a' || i), chr(10)) || chr(10) || chr(10) || 'between' || chr(10) || chr(10)
+  || (doc_id % 4 + 2) || '.  last' || chr(10) || chr(10) || '**' || (doc_id % 9 + 1) || '.' || doc_id || ' part**' || chr(10) || chr(10) || 'by $x^' || doc_id || '$ so') AS digest FROM documents""")
+def _rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """Empty headings and links go, lists count on, numbered headings are bold, formulas are LaTeX, scripts go."""
+    items = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), lambda i: F.concat(F.lit("<li>a"), i.cast("string"))), "")
+    html = F.concat(
+        F.lit("<h2> </h2><h3>"), "source", F.lit('</h3><p onclick="x()">'), _plain(), F.lit('<a href="u"> </a></p><script>no</script><ol>'), items, F.lit("</ol><p>between</p><ol><li>last</ol><h4>"),
+        F.col("doc_id") % 9 + 1, F.lit("."), "doc_id", F.lit(' part</h4><p>by <img class="formula" source="x^'), "doc_id", F.lit('"> so</p>'),
+    )
+    made = pages.parse_pages(table(spark, d, "documents").select("doc_id", html.alias("html"), F.lit(None).cast("string").alias("url")), ("markdown",), clean=False)
+    return made.select("doc_id", F.md5("page.markdown").alias("digest"))
+
+
+@query("x1_article", f"""
+SELECT doc_id, source AS author, '/u/' || source AS author_url, CASE WHEN doc_id % 2 = 0 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS publish_date, trim({_PLAIN}) AS reading_time,
+  'h' || doc_id % 3 || ',h' || doc_id % 5 AS hubs, lang || ',' || source AS tags, 'n' || doc_id AS author_full_name, CAST(doc_id % 6 AS INTEGER) AS figure_num, 'https://e.org/p/' || doc_id || '.png' AS src
+FROM documents WHERE lang IS NOT NULL""")
+def _article(spark: SparkSession, d: str) -> DataFrame:
+    when = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<time datetime="2024-01-'), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit('">x</time>'))).otherwise("<time>x</time>")
+    html = F.concat(
+        F.lit('<html><head><meta name="keywords" content="'), "lang", F.lit(" ,"), "source", F.lit('"><script type="application/ld+json">{"author":{"name":"n'), "doc_id", F.lit('"}}</script></head><a class="x tm-user-info__username" href="/u/'),
+        "source", F.lit('"> '), "source", F.lit("</a>"), when, F.lit('<span class="tm-article-reading-time__label">'), _plain(), F.lit('</span><a class="tm-publication-hub__link"><span>h'),
+        F.col("doc_id") % 3, F.lit('</span></a><a class="tm-publication-hub__link">h'), F.col("doc_id") % 5, F.lit(' * </a><figure><img src="/i.svg"></figure><figure><img src="p/'), "doc_id", F.lit('.png"><figcaption>Figure '), F.col("doc_id") % 6, F.lit(". c</figcaption></figure></html>"),
+    )
+    made = table(spark, d, "documents").where("lang is not null").select("doc_id", html.alias("html"), F.lit("https://e.org/a").alias("url"))
+    page = pages.parse_pages(made, ("metadata", "figures")).select("doc_id", F.col("page.metadata").alias("m"), F.get("page.figures", F.lit(0)).alias("f"))
+    names = ["author", "author_url", "publish_date", "reading_time"]
+    return page.select("doc_id", *[F.col(f"m.{x}").alias(x) for x in names], F.array_join("m.hubs", ",").alias("hubs"), F.array_join("m.tags", ",").alias("tags"), "m.author_full_name", "f.figure_num", "f.src")
+
+
+@query("x13_streamed_chat", """
+SELECT doc_id, role, md5(trim(content, ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM (SELECT doc_id, 'user' AS role, text AS content FROM documents UNION ALL SELECT doc_id, 'assistant', 'of ' || source FROM documents)
+WHERE trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    said = lambda c: F.to_json(F.array(c))
+    inner = lambda c: F.substring(said(c), F.lit(2), F.length(said(c)) - 2)
+    turns = '[{"_1":2},"linear_conversation",[3,9],{"_4":5},"message",{"_6":7,"_8":12},"author",{"_10":11},"content",{"_4":13},"role","user",{"_14":15},{"_6":16,"_8":17},"parts",[18],{"_10":19},{"_14":20},'
+    stream = F.concat(F.lit(turns), inner(F.col("text")), F.lit(',"assistant",[21],'), inner(F.concat(F.lit("of "), "source")), F.lit("]"))
+    html = F.concat(F.lit(f"<p>x<script>{P.ENQUEUE}"), inner(stream), F.lit(")</script>"))
+    chats = pages.spread(table(spark, d, "documents").select("doc_id", html.alias("html"))).select("doc_id", F.explode(dialog.parse_chat(F.col("html"))["turns"]).alias("t"))
+    return chats.select("doc_id", "t.role", F.md5("t.content").alias("digest"))
+
+
+@query("q6_searches", """
+SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 0 ELSE 1 + CAST(doc_id % 3 AS INTEGER) END AS n_results, CASE WHEN n_chars % 3 = 0 THEN 'no response' END AS error, n_chars % 5 = 0 AND n_chars % 3 <> 0 AS captcha FROM documents""")
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.concat(F.lit("q "), "doc_id").alias("query"), F.lit("bing").alias("provider"))
+    item = F.concat(F.lit('<li class="b_algo"><h2><a href="https://e.com/'), "doc_id", F.lit('">T</a></h2><p>s</p>'))
+    body = F.concat(F.repeat(item, (F.col("doc_id") % 3 + 1).cast("int")), F.when(F.col("n_chars") % 5 == 0, "<b>unusual traffic</b>").otherwise(""))
+    got = docs.where("n_chars % 3 <> 0").select(U.search_url(F.col("provider"), F.col("query"), 10).alias("url"), F.lit(200).alias("status"), body.alias("body"), *[F.lit(None).cast("string").alias(x) for x in ("error", "error_kind")])
+    found = search.run_searches(docs.select("query", "provider"), got)
+    number = F.substring_index("query", " ", -1).cast("long").alias("doc_id")
+    return found.select(number, F.size("results").alias("n_results"), "diagnostics.error", F.coalesce("diagnostics.blocked_by_captcha", F.lit(False)).alias("captcha"))
+
+
 # ---- documents: lines, samples, verification ------------------------------------------------
 
 _LINES = "SELECT doc_id, unnest(l) AS line, CAST(unnest(range(len(l))) AS INTEGER) AS ord FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -575,10 +645,18 @@ def _transcripts(spark: SparkSession, d: str) -> DataFrame:
 # ---- repositories, batches, frames ------------------------------------------------------------
 
 
-@query("r11_sorted_tree", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 2, lower(p_name), p_partkey) AS n FROM part")
+@query("r11_sorted_tree", """
+SELECT p_brand, string_agg(p_name || CASE WHEN p_size % 2 = 0 THEN '/' ELSE ' ' || p_partkey END, ',' ORDER BY p_size % 2, lower(p_name), p_partkey) AS tree FROM (SELECT *, p_name || p_partkey AS n FROM part) GROUP BY p_brand""".replace("p_name ||", "n ||", 1).replace("lower(p_name)", "lower(n)"))
 def _tree(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("p_brand").orderBy((F.col("p_size") % 2), F.lower("p_name"), "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(order).alias("n"))
+    parts = table(spark, d, "part").withColumn("n", F.concat("p_name", "p_partkey"))
+    entry = F.struct(F.col("n").alias("name"), F.when(F.col("p_size") % 2 == 0, "dir").otherwise("file").alias("type"), F.col("p_partkey").cast("long").alias("size"))
+    repos = parts.groupBy("p_brand").agg(F.to_json(F.shuffle(F.collect_list(entry))).alias("body")).withColumn("slug", F.replace("p_brand", F.lit("#"), F.lit("-")))
+    api = F.concat(F.lit("https://api.github.com/repos/o/"), "slug")
+    record = repos.select(api.alias("url"), F.concat(F.lit('{"full_name":"'), "p_brand", F.lit('"}')).alias("body"))
+    bodies = record.unionByName(repos.select(F.concat(api, F.lit("/contents")).alias("url"), "body"))
+    made = repo.snapshots(repos.select(F.concat(F.lit("https://github.com/o/"), "slug").alias("url")), bodies)
+    shown = F.transform("tree", lambda x: F.concat(x["name"], F.when(x["type"] == "dir", "/").otherwise(F.concat(F.lit(" "), x["size"].cast("string")))))
+    return made.select(F.col("repository.full_name").alias("p_brand"), F.array_join(shown, ",").alias("tree"))
 
 
 @query("b1_defaults_merge", "SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 3 = 0 THEN 'fallback' ELSE 'own ' || page_id END AS title, 'en' AS language FROM pages")
