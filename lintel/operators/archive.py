@@ -51,7 +51,7 @@ PLAN = "html string, markdown string, images array<struct<url:string,path:string
 HINTS, ENDINGS = ("jpg", "jpeg", "png", "gif", "webp", "svg"), {".jpg": "jpg", ".jpeg": "jpg", ".gif": "gif", ".webp": "webp", ".svg": "svg"}
 
 
-def planned(html: str | None, url: str, as_html: bool, local: bool) -> dict:
+def planned(html: str | None, url: str, as_html: bool, local: bool, hint_attribute: str = "data-extension") -> dict:
     """A page's document and what its archive is to hold besides: images in order of their first occurrence, one path for each
     address, and (of an HTML document) its stylesheets."""
     out: dict = {"html": None, "markdown": None, "images": [], "styles": []}
@@ -66,7 +66,7 @@ def planned(html: str | None, url: str, as_html: bool, local: bool) -> dict:
         if src and not src.startswith(("data:", "blob:")):
             at = resolved(src, url)
             seen.append((n, at))
-            hint = n.attrs.get("data-web-capture-extension", "").lower().removeprefix(".")
+            hint = n.attrs.get(hint_attribute, "").lower().removeprefix(".")
             if hint in HINTS:
                 hints.setdefault(at, hint)
     if local:
@@ -97,12 +97,13 @@ def planned(html: str | None, url: str, as_html: bool, local: bool) -> dict:
     return out
 
 
-def plan(pages: DataFrame, html_col: str = "html", url_col: str = "url", document: str = "markdown", local_images: bool = True, keep_links: bool = False) -> DataFrame:
-    """``pages`` with a struct ``plan``; ``document`` is markdown or html. Original links are kept by keeping images remote."""
+def plan(pages: DataFrame, html_col: str = "html", url_col: str = "url", document: str = "markdown", local_images: bool = True, keep_links: bool = False, hint_attribute: str = "data-extension") -> DataFrame:
+    """``pages`` with a struct ``plan``; ``document`` is markdown or html. Original links are kept by keeping images remote.
+    ``hint_attribute`` of an image names its extension where the address doesn't."""
 
     @F.pandas_udf(PLAN)
     def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        rows = [planned(h, u, document == "html", local_images and not keep_links) for h, u in zip(html, url, strict=True)]
+        rows = [planned(h, u, document == "html", local_images and not keep_links, hint_attribute) for h, u in zip(html, url, strict=True)]
         return pd.DataFrame(rows, columns=["html", "markdown", "images", "styles"])
 
     return pages.withColumn("plan", run(F.col(html_col), ensure_absolute(F.col(url_col))))

@@ -191,7 +191,7 @@ def test_localised_document_keeps_failed_names(spark):
 
 
 def test_archives_of_pages(spark):
-    html = '<html><head><link rel="stylesheet" href="/s.css"></head><body><script>1</script><p>x <img src="a.gif?v=1"><img src="b" data-web-capture-extension=".JPG"><img src="/d/a.gif?v=1"></p></body></html>'
+    html = '<html><head><link rel="stylesheet" href="/s.css"></head><body><script>1</script><p>x <img src="a.gif?v=1"><img src="b" data-extension=".JPG"><img src="/d/a.gif?v=1"></p></body></html>'
     df = spark.createDataFrame([(1, "e.com/d/p", html), (2, "e.com", None)], "page_id long, url string, html string")
     receipts = spark.createDataFrame([("https://e.com/d/a.gif?v=1", 200, b"G"), ("https://e.com/d/b", 500, b""), ("https://e.com/s.css", 200, b"C")], "url string, status int, body binary")
     got = {r["path"]: bytes(r["bytes"]).decode() for r in archive.archive_entries(df, "page_id", receipts, document="html").collect()}
