@@ -120,17 +120,22 @@ def _raw(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
 
+def named_by(sha: Column) -> Column:
+    """The first 64 bits of a digest in hex, as a number."""
+    return F.conv(F.substring(sha, 1, 16), 16, -10).cast("bigint")
+
+
 def _runs(texts: DataFrame) -> DataFrame:
-    """(h, cls, lo) for each run of windows of each text."""
+    """(h, name, lo) for each run of windows of each text; ``name`` is 64 bits of the text's digest, as in ``named_by``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches):
             data = _bytes(part, "_text")
-            cls = [sha256(x).digest()[:16] for x in data]
+            names = np.array([int.from_bytes(sha256(x).digest()[:8], "big", signed=True) for x in data], np.int64)
             for own, lo, _, h in runs_of(data):
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([cls[i] for i in own], pa.binary()), pa.array(lo, pa.int64())], names=["h", "cls", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(names[own], pa.int64()), pa.array(lo, pa.int64())], names=["h", "name", "lo"])
 
-    return texts.mapInArrow(run, "h bigint, cls binary, lo bigint")
+    return texts.mapInArrow(run, "h bigint, name bigint, lo bigint")
 
 
 def _spans(texts: DataFrame) -> DataFrame:
@@ -212,17 +217,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     neither merged nor sorted; wholly repeated texts are to be seen from ``rows`` alone."""
     raw = docs.select(F.col(id_col).alias("_id"), _raw(text_col).alias("_text"))
     rows = staged(raw.select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("sha")))
-    rows = rows.withColumn("cls", F.substring(F.unhex("sha"), 1, 16))
+    rows = rows.withColumns({"cls": F.substring(F.unhex("sha"), 1, 16), "name": named_by(F.col("sha"))})
     runs = staged(_runs(raw.select("_text")))
-    place = F.xxhash64("cls", "lo")  # grouped minima are combined map-side: an anchor of any number of runs is no hot key
+    place = F.xxhash64("name", "lo")  # grouped minima are combined map-side: an anchor of any number of runs is no hot key
     often = runs.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    wanted = staged(runs.join(often, "h", "left_semi").groupBy("cls").agg(F.collect_set("lo").alias("los")))
+    wanted = staged(runs.join(often, "h", "left_semi").groupBy("name").agg(F.collect_set("lo").alias("los")))
     dropped(runs)
-    holders = staged(rows.where(F.col("n_bytes") >= LENGTH).groupBy("cls").agg(F.min("_id").alias("rep")).join(wanted.select("cls"), "cls", "left_semi"))
+    holders = staged(rows.where(F.col("n_bytes") >= LENGTH).groupBy("cls", "name").agg(F.min("_id").alias("rep")).join(wanted.select("name"), "name", "left_semi"))
     ids = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
     named = raw.join(ids, raw["_id"].eqNullSafe(ids["rep"])).where(F.substring(F.unhex(F.sha2("_text", 256)), 1, 16) == F.col("cls"))
-    texts = staged(named.select("cls", "_text").dropDuplicates(["cls"]))
-    spans = staged(_spans(texts.join(wanted, "cls")))
+    texts = staged(named.select("cls", "name", "_text").dropDuplicates(["cls"]))
+    # texts of one name, should there be two, look at each other's runs too, which changes nothing in the end
+    spans = staged(_spans(texts.join(wanted, "name")))
     once = spans.groupBy("h", "dig").agg(F.first("span").alias("span"), F.count("*").alias("n"))
     hot = staged(spans.select("h", "dig").distinct().groupBy("h").count().where(F.col("count") > HOT).select("h"))
     total = spans.agg(F.sum(F.octet_length("span"))).first()[0] or 0
@@ -232,7 +238,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = _hot_windows(once.join(hot, "h", "left_semi"))
     marked = sorted_.unionByName(windows)
     found = spans.select("h", "dig", "cls", "lo").join(marked, ["h", "dig"]).select("cls", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
-    return rows, texts, found
+    return rows.drop("name"), texts.drop("name"), found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
