@@ -107,6 +107,9 @@ def parsed_page(html: str | None, url: str | None, want: frozenset[str], content
     out: dict = dict.fromkeys(FIELDS)
     if html is None:
         return out
+    if want == {"tables"} and (plain := md.plain_tables(html)) is not None:
+        out["tables"] = [_sized(cells, made) for cells, made in plain]
+        return out
     root = parse(html)
     if "title" in want:
         n = root.first("title")
@@ -145,7 +148,11 @@ def parsed_page(html: str | None, url: str | None, want: frozenset[str], content
 def table_of(n: Node) -> dict:
     """Size, cells and Markdown of a table; the tree stays as it is."""
     rows = [[" ".join(c.content().split()) for c in r.kids("td", "th")] for r in md.rows_of(n)]
-    return {"n_rows": len(rows), "n_columns": max(map(len, rows), default=0), "cells": rows, "markdown": md.table_markdown(n)}
+    return _sized(rows, md.table_markdown(n))
+
+
+def _sized(rows: list[list[str]], made: str) -> dict:
+    return {"n_rows": len(rows), "n_columns": max(map(len, rows), default=0), "cells": rows, "markdown": made}
 
 
 def warnings_of(html: str, root: Node) -> list[str]:

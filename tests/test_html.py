@@ -1,10 +1,11 @@
 """Tree, rewrites and Markdown on hand-written pages."""
 
+import random
 import re
 
 import pytest
 
-from lintel.html.markdown import to_markdown
+from lintel.html.markdown import plain_tables, to_markdown
 from lintel.html.rewrite import absolutise, pretty
 from lintel.html.tree import parse, select, serialize
 from lintel.operators import pages, richdoc
@@ -97,3 +98,21 @@ def test_export_preprocessing():
     out = richdoc.preprocessed(html)
     assert out["unwrapped_links"] == 1 and 'href="https://e.com/"' in out["html"] and out["hoisted"] == 2
     assert re.search(r"<ul><li class=\"c2\">a<ul><li class=\"c3\">b</li></ul></li></ul>", out["html"])
+
+
+def test_plain_tables_need_no_tree(monkeypatch):
+    """Pages of plain tables, long ones too, give what their trees give, without a tree."""
+    rng = random.Random(1)
+    texts = ["", " ", "1", "12. x", "- y", "# h", "a|b", "  x  y ", "\n", "\u00a0z\u00a0", "*s*", "a_b", "> q", "+ p", "~~~", "`c`", "[l]", "\\", "=", "x>y", "\x0bk", "\u00e9"]
+    made = ["before <table><tr><th>n<th>word" + "".join(f"<tr><td>{k}<td>w{k}" for k in range(20_000)) + "</table>"]
+    for _ in range(400):
+        html = ""
+        for _ in range(rng.randint(1, 2)):
+            rows = ["<tr>" + "".join(f"<t{k}>{rng.choice(texts)}{rng.choice(['', f'</t{k}>'])}" for k in rng.choices("dh", k=rng.randint(1, 3))) + rng.choice(["", "</tr>\n"]) for _ in range(rng.randint(1, 3))]
+            html += rng.choice(["", "text "]) + "<table>" + "".join(rows) + "</table>"
+        made.append(html)
+    want = [[pages.table_of(n) for n in parse(h).find_all("table")] for h in made]
+    for odd in ("", "text", "<table></table>", "<table><tr></table>", "<table><tr><td>a&amp;b</table>", "<table><tr><td align=left>a</table>", "<table><tr><td><b>x</b></table>", "<table><tr><td>a"):
+        assert plain_tables(odd) is None
+    monkeypatch.setattr(pages, "parse", None)
+    assert [pages.parsed_page(h, None, frozenset({"tables"}))["tables"] for h in made] == want
