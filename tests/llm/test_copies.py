@@ -249,6 +249,51 @@ def test_shared_passages_of_frequent_lines(spark, monkeypatch, hot):
     assert [got[k]["component_id"] for k in range(5)] == [0, 0, 2, 2, 4]
 
 
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_shared_passages_without_a_rare_seed(spark, monkeypatch, hot):
+    """Two texts, among others with more of their lines, share a passage of which every seed is in many other texts."""
+    monkeypatch.setattr(chain_dedup, "HOT", hot)
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"y{x}" for x in rng.integers(0, 10**9, n)]
+    lines = [fresh(9) for _ in range(6)]
+    passage = lambda: sum([x + fresh(1) for x in lines], [])
+    texts = [fresh(20) + lines[k % 6] + fresh(40) for k in range(90)]
+    for at in (30, 60):
+        texts[at] = fresh(20) + passage() + fresh(20)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in chain_dedup.shared_passages(docs).collect()}
+    assert {k for k, r in got.items() if r["n_passages"]} == {30, 60} and got[60]["component_id"] == 30
+    assert all(r["n_links"] == (k in (30, 60)) for k, r in got.items())
+
+
+def test_every_link_of_a_frequent_passage(spark):
+    """Thirty texts share a passage: each has twenty-nine links."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"z{x}" for x in rng.integers(0, 10**9, n)]
+    passage = fresh(60)
+    docs = spark.createDataFrame([(k, " ".join(fresh(20) + passage + fresh(20))) for k in range(30)], "doc_id long, text string").repartition(3)
+    assert {(r["n_links"], r["n_shared"], r["component_id"]) for r in chain_dedup.shared_passages(docs).collect()} == {(29, 60, 0)}
+    assert chain_dedup.passage_pairs(docs).count() == 30 * 29 // 2
+
+
+def test_a_run_far_off_costs_no_passage(spark):
+    """Words that both texts have, at other distances, before a passage that they share."""
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"q{x}" for x in rng.integers(0, 10**9, n)]
+    line, passage = fresh(6), fresh(50)
+    docs = spark.createDataFrame([(1, " ".join(line + fresh(1) + passage)), (2, " ".join(fresh(9) + line + fresh(50) + passage + fresh(9)))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chain_dedup.shared_passages(docs).collect()}
+    assert {k: (r["n_shared"], r["n_links"]) for k, r in got.items()} == {1: (50, 1), 2: (50, 1)}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1024])
+def test_every_two_occurrences_are_matched(monkeypatch, hot):
+    monkeypatch.setattr(chain_dedup, "HOT", hot)
+    tok = np.repeat(np.arange(6), [1, 2, 30, 9, 1, 17])
+    late, early = chain_dedup.matches_of(tok, tok, tok)
+    assert sorted(zip(late.tolist(), early.tolist(), strict=True)) == [(i, j) for i in range(len(tok)) for j in range(i) if tok[i] == tok[j]]
+
+
 def test_ends_are_extended_as_far_as_they_go(spark):
     """No two seeds in the tails: every seventh, then every fourth word is another one."""
     rng = np.random.default_rng(6)
