@@ -286,6 +286,54 @@ def test_a_run_far_off_costs_no_passage(spark):
     assert {k: (r["n_shared"], r["n_links"]) for k, r in got.items()} == {1: (50, 1), 2: (50, 1)}
 
 
+def test_a_frequent_line_alone_is_not_matched():
+    """Of 200 texts with one line, two share a passage around it: all other pairs are none to chain."""
+    rng = np.random.default_rng(14)
+    fresh = lambda n: rng.integers(1, 1 << 32, n).astype(np.uint32)
+    line, left, right = fresh(13), fresh(20), fresh(20)
+    texts = [np.concatenate([fresh(80), left if k in (7, 90) else fresh(20), line, right if k in (7, 90) else fresh(20), fresh(80)]) for k in range(200)]
+    rows = []
+    for k, w in enumerate(texts):
+        kind = np.zeros(len(w) - 4, np.uint8)
+        kind[100:109] = 2
+        if k in (7, 90):
+            kind[80:100] = kind[109:129] = 1
+        at = np.arange(100, 109)
+        tok, *around = chain_dedup._around(w, chain_dedup.seeds_of(w.astype(np.uint64)), kind, at)
+        rows.append((tok, np.full(9, k, np.int64), at, *around, np.zeros(9, np.uint8)))
+    found = list(chain_dedup.frequent_matches(*(np.concatenate(x) for x in zip(*rows, strict=True))))
+    a, b, p, q, n = (np.concatenate(x).tolist() for x in zip(*found, strict=True))
+    assert set(zip(a, b, strict=True)) == {(90, 7)} and p == q and min(p) <= 100 and max(x + y for x, y in zip(p, n, strict=True)) >= 113
+
+
+def test_frequent_seeds_lose_no_link(spark, monkeypatch):
+    """Lines that many texts have, passages with changes around and between them, repetitions: as with every two matched."""
+    rng = np.random.default_rng(15)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    changed = lambda w, share: [fresh(1)[0] if rng.random() < share else x for x in w]
+    lines = [fresh(n) for n in (6, 9, 13, 20)]
+    passages = [fresh(20) + lines[k % 4] + fresh(25) for k in range(6)] + [sum([x + fresh(2) for x in lines], [])]
+    texts = []
+    for k in range(120):
+        parts = [lines[rng.integers(4)], changed(passages[rng.integers(7)], rng.choice([0, 0.1, 0.2])) if k % 3 == 0 else fresh(9), lines[rng.integers(4)]]
+        parts.append([["ha"], ["ha", "ho"]][k % 2] * int(rng.integers(20, 150)) if k % 10 == 0 else fresh(5))
+        texts.append(sum((x + fresh(int(rng.integers(3, 40))) for x in parts), fresh(10)))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3).persist()
+    got = []
+    for frequent in (10**6, 4):
+        monkeypatch.setattr(chain_dedup, "FREQUENT", frequent)
+        got.append({r["doc_id"]: (r["n_links"], r["n_shared"], r["component_id"]) for r in chain_dedup.shared_passages(docs).collect()})
+    assert got[0] == got[1] and sum(x > 0 for x, _, _ in got[0].values()) > 30
+    docs.unpersist()
+
+
+def test_repetitions_end_as_seeds():
+    words = np.concatenate([np.arange(1, 31), np.tile([50, 51, 52], 100), np.arange(60, 90)]).astype(np.uint32)
+    one, none = chain_dedup.repeating([words, np.arange(40, dtype=np.uint32)])
+    assert not none.any() and not one[:30].any() and not one[-26:].any()
+    assert (one[30:36] == 2).all() and (one[320:326] == 3).all() and (one == 4).sum() == 296 - 2 * chain_dedup.ENDS
+
+
 @pytest.mark.parametrize("hot", [1, 3, 1024])
 def test_every_two_occurrences_are_matched(monkeypatch, hot):
     monkeypatch.setattr(chain_dedup, "HOT", hot)
