@@ -1,6 +1,7 @@
 """Exact dedup, n-gram join, suffix-array dedup and substring dedup against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from lintel.llm import chain_dedup, exact_dedup, ngram_join, suffix_dedup
 from lintel.llm.components import connected_components
 from lintel.llm.suffix_array import common_prefixes, two_stage
+from tests.llm.conftest import words
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -374,6 +376,51 @@ def test_packed_seeds_and_matches_come_back():
     assert got == set(zip(name.tolist(), b.tolist(), pos.tolist(), q.tolist(), strict=True))
 
 
+def test_packed_size_does_not_grow_with_the_slots():
+    """At very many slots a slot has one seed of a text, or one match of a pair: 8 bytes for each name are most of it."""
+    rng = np.random.default_rng(1)
+    n = 5000
+    name = np.cumsum(rng.integers(1, 3000, n))
+    pos = rng.integers(0, 5000, n)
+    low = rng.integers(0, 1 << 32, n).astype(np.uint32)
+    blob = chain_dedup._packed_seeds(low, name, pos)
+    assert len(blob) <= 9 * n
+    assert all((x == y).all() for x, y in zip(chain_dedup._unpacked_seeds(blob), (low, name, pos), strict=True))
+    other, q = rng.integers(0, name), rng.integers(0, 5000, n)
+    blobs = [x for _, x in chain_dedup._packed_matches(name, other, pos, q, 7)]
+    assert sum(map(len, blobs)) <= 18 * n
+    got = {r for x in blobs for r in zip(*(y.tolist() for y in chain_dedup._unpacked_matches(x)), strict=True)}
+    assert got == set(zip(name.tolist(), other.tolist(), pos.tolist(), q.tolist(), strict=True))
+
+
+def test_numbers_of_all_sizes_come_back():
+    for x in ([], [0, 254, 255, 256], [65534, 65535, 65536, 70000], [1, 2, 2**32 - 2, 2**32 - 1, 2**40, 2**62]):
+        x = np.array(x, np.int64)
+        blob = b"xyz" + chain_dedup._short(x) + b"rest"
+        got, end = chain_dedup._read_short(blob, len(x), 3)
+        assert (got == x).all() and blob[end:] == b"rest"
+        assert all((chain_dedup._read_signed(chain_dedup._signed(y)) == y).all() for y in (x, -x))
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    """A share of the slots at a time, so that no shuffle holds all seeds, texts, surroundings or matches."""
+    rng = random.Random(8)
+    line, passage = words(rng, 12, 9000), words(rng, 60, 9000)
+    texts = [f"{words(rng, 30, 9000)} {line} {words(rng, 30, 9000)} {passage if k % 2 else line}" for k in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[1], texts[1].upper(), None, ""])], "doc_id long, text string").repartition(3)
+    columns = "doc_id", "n_words", "n_shared", "n_passages", "copy_of", "text_id", "n_links", "component_id"
+    result = lambda: {r["doc_id"]: tuple(r) for r in chain_dedup.shared_passages(docs).select(*columns).collect()}
+    whole = result()
+    assert whole[3][6] == 19 and whole[40][4] is not None
+    staged, writes = chain_dedup.staged, []
+    monkeypatch.setattr(chain_dedup, "staged", lambda df: (writes.append(df.columns), staged(df))[1])
+    monkeypatch.setattr(chain_dedup, "ROUND_WORDS", 100)
+    monkeypatch.setattr(chain_dedup, "ROUND_AROUND", 100)
+    monkeypatch.setattr(chain_dedup, "WORDS_AROUND", 1000)
+    assert result() == whole
+    assert [writes.count(x) for x in (["kind", "s", "blob"], ["s", "blob"], ["a", "b", "runs", "p", "q", "n"])] == [2, 4, 4]
+
+
 def test_passage_pairs_name_all_links(spark):
     """A passage that one text shares with one text, and a part of it with another: both links stay."""
     rng = np.random.default_rng(9)
