@@ -6,9 +6,14 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from lintel.functions.text import SPACE, postprocessed
 from lintel.functions.urls import resolved
@@ -182,15 +187,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
 
 
+#: Bytes of pages whose results are held at once: cells of a table take some 30 times its bytes in Python.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(html: pa.Array) -> Iterator[slice]:
+    """Rows of at most so many bytes, one row at least; a batch has thousands of pages, of any size."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(html), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE_BYTES, "right")))
+        yield slice(at, end)
+        at = end
+
+
 def parse_pages(pages: DataFrame, want: tuple[str, ...] = FIELDS, html_col: str = "html", url_col: str = "url", content: str | None = None, body: str | None = None, clean: bool = False) -> DataFrame:
     """``pages`` with a struct ``page`` of the wanted fields, from one parse a page. Fields not asked for are null and cost
     nothing. ``clean``: Markdown is post-processed in the same call."""
     wanted = frozenset(want)
 
-    @F.pandas_udf(PARSED)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_type(DataType.fromDDL(PARSED))
+
+    @F.arrow_udf(PARSED)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html, url in batches:
-            yield pd.DataFrame([parsed_page(h, u, wanted, content, body, clean) for h, u in zip(html, url, strict=True)], columns=list(FIELDS))
+            for x in pieces(html):
+                yield pa.array([parsed_page(h, u, wanted, content, body, clean) for h, u in zip(html[x].to_pylist(), url[x].to_pylist(), strict=True)], kind)
 
     return spread(pages).withColumn("page", run(F.col(html_col), F.col(url_col)))
 

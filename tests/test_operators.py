@@ -44,6 +44,23 @@ def test_functions(spark, f, given, want):
     value(spark, f(F.lit(None).cast("string")))
 
 
+def test_pages_of_a_batch_are_parsed_in_pieces(spark):
+    """The results of a whole batch, up to 10,000 pages of tables, don't fit an executor."""
+    import pyarrow as pa
+
+    rows = [f"<table><tr><th>n{''.join(f'<tr><td>{i}<td>{k}' for i in range(2000))}</table>" for k in range(120)]
+    rows += [None, "", "<p>no table</p>", f"<table><tr><td>{'x' * 3_000_000}</table>"]
+    html = pa.array(rows)
+    cuts = list(pages.pieces(html))
+    assert [i for x in cuts for i in range(x.start, x.stop)] == list(range(len(rows)))
+    assert all(html[x].nbytes <= 2 * pages.PIECE_BYTES or x.stop - x.start == 1 for x in cuts) and len(cuts) > 3
+    assert not list(pages.pieces(pa.array([], pa.string()))) and len(list(pages.pieces(pa.nulls(3, pa.string())))) == 1
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, html string").withColumn("url", F.lit(None).cast("string")).coalesce(1)
+    got = {r["k"]: r["t"] for r in pages.parse_pages(df, ("tables",)).select("k", F.get("page.tables", F.lit(0)).alias("t")).collect()}
+    assert len(got) == len(rows) and got[120] is got[122] is None and got[123]["cells"] == [["x" * 3_000_000]]
+    assert all(got[k]["n_rows"] == 2001 and got[k]["cells"][2000] == ["1999", str(k)] for k in range(120))
+
+
 def test_parse_pages_prunes_and_survives(spark):
     df = spark.createDataFrame([(1, "<title>T</title><h1>H</h1><a href='/x'>y</a>", "http://e.com/"), (2, None, None), (3, "<<<", "x")], "page_id long, html string, url string")
     rows = {r["page_id"]: r["page"] for r in pages.parse_pages(df, ("title", "links")).collect()}
